@@ -1 +1 @@
-
+"""SQL functions that users define."""

@@ -1 +1 @@
-
+"""Where data comes from and goes to: files, versioned tables and their metadata."""

@@ -1 +1 @@
-
+"""Change streams of tables, and event-time operators."""
