@@ -38,9 +38,9 @@ def zone_maps(table: VersionedTable, snapshot: Snapshot) -> list[tuple]:
     return [(m, f["rows"], names[c], None if s["min"] is None else str(s["min"]), None if s["max"] is None else str(s["max"]), s["nulls"]) for m, f in sorted(snapshot.files.items()) for c, s in sorted(f["stats"].items()) if c in names]
 
 
-def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """(bucket, low, high, n): equi-height buckets of the non-null values, from approximate quantiles."""
-    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+def histogram(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> DataFrame:
+    """(bucket, low, high, n): equi-height buckets of the non-null values, from quantiles off by 1 / accuracy at most."""
+    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], accuracy)).first()[0] or []
     number = F.lit(1)
     for cut in cuts:
         number = number + F.when(F.col(column) > cut, 1).otherwise(0)
