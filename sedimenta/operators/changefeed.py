@@ -79,8 +79,8 @@ class BucketedTable:
         payload = [c for c in changes.columns if c not in (*self.keys, self.sequence, inserted)]
         known = changes.where(F.greatest(*[F.col(c).isNull().cast("int") for c in (*self.keys, self.sequence, inserted)], F.lit(0)) == 0)
         # Last change per key, combined on the map side: a key with any number of changes sends one row per task.
-        last = known.groupBy(*self.keys).agg(F.max(F.struct(self.sequence, inserted, *payload)).alias("c"))
-        routed = last.select(*self.keys, f"c.{self.sequence}", (~F.col(f"c.{inserted}")).alias("_deleted"), *[F.col(f"c.{p}").alias(p) for p in payload], self._bucket().alias("_bucket"))
+        last = known.groupBy(*self.keys).agg(F.max(F.struct(self.sequence, inserted, *payload)).alias("_c"))
+        routed = last.select(*self.keys, f"_c.{self.sequence}", (~F.col(f"_c.{inserted}")).alias("_deleted"), *[F.col(f"_c.{p}").alias(p) for p in payload], self._bucket().alias("_bucket"))
         before = self.manifest()
         replaced = {}
         if before["version"]:
@@ -92,8 +92,8 @@ class BucketedTable:
                 base = self.spark.read.parquet(*old_files).withColumn("_bucket", self._bucket())
                 both = base.unionByName(routed, allowMissingColumns=True)
                 rest = [c for c in both.columns if c not in (*self.keys, self.sequence, "_bucket")]
-                merged = both.groupBy("_bucket", *self.keys).agg(F.max(F.struct(self.sequence, F.struct((~F.col("_deleted")).alias("kept"), *rest).alias("r"))).alias("c"))
-                routed = merged.select(*self.keys, f"c.{self.sequence}", *[F.col(f"c.r.{c}").alias(c) for c in rest], "_bucket")
+                merged = both.groupBy("_bucket", *self.keys).agg(F.max(F.struct(self.sequence, F.struct((~F.col("_deleted")).alias("kept"), *rest).alias("r"))).alias("_c"))
+                routed = merged.select(*self.keys, f"_c.{self.sequence}", *[F.col(f"_c.r.{c}").alias(c) for c in rest], "_bucket")
             replaced = {str(b): [] for b in touched}
         version = before["version"] + 1
         folder = f"{self.path}/data/{version:020d}-{uuid.uuid4().hex[:8]}"

@@ -57,7 +57,7 @@ def build_bloom(keys: DataFrame, key: str) -> BloomFilter | None:
 
 
 def split_by_bloom(refs: DataFrame, key: str, bloom: BloomFilter) -> DataFrame:
-    """Adds `maybe`: False proves that the key is not among the filter's keys."""
+    """Adds `_maybe`: False proves that the key is not among the filter's keys."""
     shared = refs.sparkSession.sparkContext.broadcast((bloom.words.tobytes(), bloom.bits, bloom.hashes))
     held: dict = {}
 
@@ -70,7 +70,7 @@ def split_by_bloom(refs: DataFrame, key: str, bloom: BloomFilter) -> DataFrame:
 
     asked = F.pandas_udf(probe, T.BooleanType())
     h1, h2 = hash_columns(key)
-    return refs.withColumn("maybe", asked(h1, h2))
+    return refs.withColumn("_maybe", asked(h1, h2))
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str) -> DataFrame:
@@ -85,8 +85,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str) -> Data
     lost = None
     if bloom is not None:
         asked = split_by_bloom(asked, key, bloom)
-        lost = asked.where(~F.col("maybe")).drop("maybe").withColumn("orphan_kind", F.lit("missing"))
-        asked = asked.where("maybe").drop("maybe")
+        lost = asked.where(~F.col("_maybe")).drop("_maybe").withColumn("orphan_kind", F.lit("missing"))
+        asked = asked.where("_maybe").drop("_maybe")
     met = join_unique(asked, parents.select(key, F.col("deleted_at").alias("_deleted"), F.col("created_at").alias("_created"), F.lit(True).alias("_there")), key)
     kind = F.when(F.col("_there").isNull(), "missing").when(F.col("_deleted") <= F.col(at), "deleted").when(F.col("_created") > F.col(at), "late")
     exact = met.withColumn("orphan_kind", kind).where("orphan_kind is not null").select(*refs.columns, "orphan_kind")
