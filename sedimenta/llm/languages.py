@@ -135,15 +135,11 @@ def fit_masks(sample: list[tuple[str, int]]) -> dict[str, int]:
         rates = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * len(number) + 1))
         now = np.add.reduceat(rates[flat], starts, axis=0).argmax(axis=1)
     counts = np.bincount(flat * k + now[owner], minlength=len(number) * k).reshape(-1, k)
-    totals: dict[str, np.ndarray] = {}
-    for word, row in zip(number, counts):
-        for gram in set(grams(word)):
-            if gram in totals:
-                totals[gram] += row
-            else:
-                totals[gram] = row.copy()
-    names = list(totals)
-    table = np.array([totals[g] for g in names])
+    names: dict[str, int] = {}
+    pieces = [[names.setdefault(g, len(names)) for g in dict.fromkeys(grams(word))] for word in number]
+    word_of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    gram_of = np.fromiter((g for p in pieces for g in p), np.int64, len(word_of))
+    table = np.stack([np.bincount(gram_of, counts[word_of, i], minlength=len(names)) for i in range(k)], axis=1)
     rates = table / np.maximum(counts.sum(axis=0), 1)
     own = (rates >= SHARE * rates.max(axis=1, keepdims=True)) & (table >= LEAST_SEEN)
     packed = (own << np.arange(k)).sum(axis=1)
@@ -224,8 +220,12 @@ def running_words(scores: np.ndarray, language: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame) -> Filters:
     """Filters fitted on at most SAMPLE labelled rows, chosen by a hash of doc_id; rows without a usable label are no part."""
     plain = F.regexp_extract(F.lower(F.regexp_replace("lang", r"\s+", "")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
-    labelled = documents.where(plain.isin(list(_INDEX)) & (F.length("text") > 0)).select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    rows = labelled.orderBy("h", "text").limit(SAMPLE).collect()
+    labelled = documents.where(plain.isin(list(_INDEX)) & (F.length("text") > 0))
+    rows = labelled.count()
+    # A threshold on the hash leaves a little more than the sample, so that sorting it brings few rows to the driver.
+    share = min(1.0, 1.2 * SAMPLE / max(rows, 1))
+    drawn = labelled.select("text", "lang", F.xxhash64("doc_id").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    rows = drawn.orderBy("h", "text").limit(SAMPLE).collect()
     return Filters.build(fit_masks([(r[0], label_index(r[1])) for r in rows]))
 
 

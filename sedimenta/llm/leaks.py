@@ -284,6 +284,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = [(r[0], coder(r[1])) for r in items.select("item_id", "text").distinct().collect()]
     texts = [(i, codes) for i, codes in texts if len(codes)]
     key_type = dict(documents.dtypes)["doc_id"]
+    of_long = dict(items.dtypes)["item_id"] == "bigint"
     schema = f"doc_id {key_type}, item_id {dict(items.dtypes)['item_id']}, share double"
     if not texts:
         return spark.createDataFrame([], schema)
@@ -329,6 +330,6 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         if share >= LEAST_HALF:
                             out.append((ids[page], texts[q][0], share))
             columns = list(zip(*out)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["doc_id", "item_id", "share"])
+            yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64() if of_long else pa.string()), pa.array(columns[2], pa.float64())], names=["doc_id", "item_id", "share"])
 
     return pages.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
