@@ -26,11 +26,13 @@ MOST_FEATURES = 4096  # of the commonest hashed words
 LEAST_SHARE = 0.001  # of passages that hold a feature; rarer words are left to the screen
 SKETCH_ROWS = 512  # rows of the sketched matrix
 LATENT = 128  # dimensions kept
-NEAR = 0.5  # least cosine of a candidate
+NEAR = 0.35  # least cosine of a candidate; half of a passage may be another column's
 RARE_SHARE = 0.004  # words in fewer passages are an item's rare words
 RARE_HELD = 0.2  # share of them that a page has to hold
 LEAST_HALF = 0.5  # share of the item's words
 LEAST_PASSAGE = 12  # words of a running passage
+DENSE = 0.5  # least share of a passage's words that are found undamaged
+ANSWERS = 0.5  # least share of the rare words in the passages that are found
 ITEM_GAP = 4  # damaged words inside a passage
 DOC_GAP = 45  # words of other columns and adverts inside a passage
 SLOTS = 64  # partial matrices that one task adds up
@@ -234,19 +236,20 @@ def supported(equal: np.ndarray) -> np.ndarray:
     return equal & (near >= 1) & (near + far >= 2)
 
 
-def held_share(page: np.ndarray, item: np.ndarray) -> float:
-    """Share of the item's words that the page holds in order, in running passages of LEAST_PASSAGE words or more.
+def passages_held(page: np.ndarray, item: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Running passages of the item in the page: lists of (place in item, place in page) of equal words.
 
     Passages come from a longest common subsequence of supported word matches; up to ITEM_GAP damaged words of the item
-    and DOC_GAP foreign words of the page may lie between two matches of a passage. Damaged words inside count as held.
+    and DOC_GAP foreign words of the page may lie between two matches of a passage. A passage spans LEAST_PASSAGE words
+    of the item or more, of which at least DENSE are found.
     """
     if not len(page) or not len(item):
-        return 0.0
+        return []
     found = supported(item[:, None] == page[None, :])
     rows = np.flatnonzero(found.any(axis=1))
     columns = np.flatnonzero(found.any(axis=0))
     if not len(rows):
-        return 0.0
+        return []
     small = found[np.ix_(rows, columns)]
     n, m = small.shape
     best = np.zeros((n + 1, m + 1), np.int16)
@@ -263,14 +266,63 @@ def held_share(page: np.ndarray, item: np.ndarray) -> float:
             i -= 1
         else:
             j -= 1
-    held, start, last = 0, None, None
-    for at in [*reversed(path), None]:
-        if last is not None and (at is None or at[0] - last[0] > ITEM_GAP or at[1] - last[1] > DOC_GAP):
-            length = last[0] - start[0] + 1
-            held += length if length >= LEAST_PASSAGE else 0
-            start = at
-        start, last = start or at, at
-    return held / len(item)
+    out: list[list[tuple[int, int]]] = []
+    for at in reversed(path):
+        if out and at[0] - out[-1][-1][0] <= ITEM_GAP and at[1] - out[-1][-1][1] <= DOC_GAP:
+            out[-1].append(at)
+        else:
+            out.append([at])
+    return [p for p in out if (span := p[-1][0] - p[0][0] + 1) >= LEAST_PASSAGE and len(p) >= DENSE * span]
+
+
+def held_share(page: np.ndarray, item: np.ndarray, rare: np.ndarray | None = None) -> float:
+    """Share of the item's words that the page holds in order in running passages; damaged words inside count as held.
+
+    rare has the codes of the item's answers, its rare words. Where fewer than ANSWERS of those in the passages are
+    found, the passages are common phrases that happen to come in the same order, and nothing is held. For the same
+    reason a passage without any of them counts only if it runs on in the page too, nothing between its words.
+    """
+    held = asked = given = 0
+    answers = set() if rare is None else set(rare.tolist())
+    for passage in passages_held(page, item):
+        first, last = passage[0][0], passage[-1][0]
+        is_answer = [w in answers for w in item[first : last + 1].tolist()]
+        found = sum(is_answer[i - first] for i, _ in passage)
+        if answers and not found and passage[-1][1] - passage[0][1] > last - first + ITEM_GAP:
+            continue
+        asked += sum(is_answer)
+        given += found
+        held += last - first + 1
+    return held / len(item) if held and (asked < 2 or given >= ANSWERS * asked) else 0.0
+
+
+def rare_words(codes: np.ndarray, counts: np.ndarray, passages: int) -> np.ndarray:
+    """The item's words in under RARE_SHARE of all passages; its rarest quarter if those are few, as an item may leak often."""
+    distinct = np.unique(codes)
+    seen = counts[distinct.astype(np.int64) % HASHES]
+    few = int((seen < max(3, passages * RARE_SHARE)).sum())
+    few = len(distinct) // 4 if few < len(distinct) // 8 else few
+    return np.sort(distinct[np.argsort(seen, kind="stable")[:few]])
+
+
+def answers_held(offsets: np.ndarray, codes: np.ndarray, pages: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
+    """pages x items: how many of each item's rare words a page has."""
+    code = np.concatenate(rare)
+    item = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+    order = np.argsort(code, kind="stable")
+    code, item = code[order], item[order]
+    lengths = offsets[pages + 1] - offsets[pages]
+    row = np.repeat(np.arange(len(pages)), lengths)
+    own = np.concatenate([codes[offsets[p] : offsets[p + 1]] for p in pages])
+    first = np.searchsorted(code, own)
+    there = first < len(code)
+    there[there] = code[first[there]] == own[there]
+    distinct = np.unique(row[there].astype(np.int64) << 32 | own[there])
+    row, own = distinct >> 32, distinct & 0xFFFFFFFF
+    low, high = np.searchsorted(code, own), np.searchsorted(code, own, "right")
+    of_row = np.repeat(row, high - low)
+    at = np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) + np.arange(len(of_row)) if len(of_row) else np.zeros(0, np.int64)
+    return np.bincount(of_row * len(rare) + item[at], minlength=len(pages) * len(rare)).reshape(len(pages), len(rare))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -298,13 +350,14 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     words = [np.unique(c.astype(np.int64) % HASHES) for _, c in starts]
     queries = project(*weights.rows(np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words), len(words)), len(words), basis)
     order = np.argsort(of_query, kind="stable")
-    rare = [np.unique(codes[counts[codes.astype(np.int64) % HASHES] < max(3, passages * RARE_SHARE)]) for _, codes in texts]
+    rare = [rare_words(codes, counts, passages) for _, codes in texts]
     shared = spark.sparkContext.broadcast((weights.column, weights.idf, basis, queries[order], of_query[order], texts, rare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, idf, basis, queries, of_query, texts, rare = shared.value
         weights = Weights.of(column, idf)
         firsts = np.flatnonzero(np.r_[True, of_query[1:] != of_query[:-1]])
+        needed = np.array([max(2, RARE_HELD * len(r)) if len(r) >= 4 else 0 for r in rare])
         for batch in batches:
             out = []
             if batch.num_rows:
@@ -317,16 +370,11 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                     some = page_starts[a : a + 256]
                     hi = page_starts[a + 256] if a + 256 < len(page_starts) else len(owners)
                     near = np.maximum.reduceat(np.maximum.reduceat(latent[some[0] : hi] @ queries.T, some - some[0], axis=0), firsts, axis=1)
-                    known: tuple[int, set] = (-1, set())
-                    for p, q in zip(*np.nonzero(near >= NEAR)):
-                        page = int(owners[some[p]])
+                    pages = owners[some]
+                    for p, q in zip(*np.nonzero((near >= NEAR) & (answers_held(offsets, codes, pages, rare) >= needed))):
+                        page = int(pages[p])
                         own = codes[offsets[page] : offsets[page + 1]]
-                        if known[0] != page:
-                            known = (page, set(own.tolist()))
-                        asked = rare[q]
-                        if len(asked) >= 4 and sum(w in known[1] for w in asked.tolist()) < max(2, RARE_HELD * len(asked)):
-                            continue
-                        share = held_share(own, texts[q][1])
+                        share = held_share(own, texts[q][1], rare[q])
                         if share >= LEAST_HALF:
                             out.append((ids[page], texts[q][0], share))
             columns = list(zip(*out)) if out else [(), (), ()]
