@@ -253,7 +253,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
 
     kind is "lines" (newline-delimited, header optionally kept once per output) or "zstd" (complete frames). Listing
     gives sizes only; each task copies the files of one bin as a stream, writes to a temporary name and renames it, so a
-    repeated task replaces its own output. An empty folder yields no rows; empty input files add nothing.
+    repeated task replaces its own output. An empty folder yields no rows; empty input files add nothing and are not counted.
     """
     if kind not in ("lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
@@ -270,7 +270,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
 
         def open_in(path: str):
             where, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-            with where.open_input_stream(name) as stream:
+            with where.open_input_stream(name, compression=None) as stream:
                 return stream.read()
 
         for batch in batches:
@@ -284,7 +284,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
                 import uuid
 
                 hidden = f"{base}/_tmp-{uuid.uuid4().hex}"
-                with where.open_output_stream(hidden) as sink:
+                with where.open_output_stream(hidden, compression=None) as sink:
                     for piece in pieces:
                         sink.write(piece)
                         size += len(piece)
