@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.sources.store import qualified
+
 # A key is heavy when it alone would fill more than this share of an average shuffle partition, times HEAVY_FACTOR.
 HEAVY_FACTOR = 4
 
@@ -23,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, root, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    return root if ":" in root else f"file://{root}"
+    return qualified(spark, root).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

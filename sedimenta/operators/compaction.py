@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sedimenta.operators.common import current_rows
+from sedimenta.sources.store import qualified
 
 ZSTD_MAGIC = 0xFD2FB528
 SKIPPABLE_MAGIC = 0x184D2A50  # low four bits free
@@ -257,6 +258,8 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
     """
     if kind not in ("lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
+    folder = qualified(spark, target)
+    folder = folder.replace("file:/", "file:///", 1) if not folder.startswith("file://") and folder.startswith("file:/") else folder
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).where(F.col("path").endswith(suffix)).select("path", "length")
     total = listed.agg(F.sum("length")).first()[0] or 0
     slices = max(1, int(total // (target_bytes * 64)) + 1)
@@ -276,7 +279,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                where, base = fs.FileSystem.from_uri(target if ":" in target else f"file://{target}")
+                where, base = fs.FileSystem.from_uri(folder)
                 where.create_dir(base, recursive=True)
                 name = f"{base}/part-{row['pack']:05d}-{row['bin']:08d}.{'zst' if kind == 'zstd' else 'txt'}"
                 size = crc = 0

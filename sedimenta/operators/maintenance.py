@@ -13,6 +13,7 @@ from sedimenta.sources.store import Store
 from sedimenta.sources.table import Snapshot, VersionedTable, now_micros
 
 MERGE_LEAST_FILES, MERGE_TARGET_ROWS = 8, 500_000
+GRACE_MILLIS = 3_600_000  # a statement may still be about to commit what it wrote
 
 
 def compact(table: VersionedTable, snapshot: Snapshot, least_files: int = MERGE_LEAST_FILES, target_rows: int = MERGE_TARGET_ROWS) -> Edit:
@@ -55,6 +56,7 @@ def most_common(df: DataFrame, column: str, top: int) -> DataFrame:
 def collect_garbage(spark: SparkSession, store: Store, catalog: Catalog, cutoff: int, offsets: dict[str, int]) -> int:
     """Delete files that no table shows any more and that left every table before cutoff (microseconds).
 
+    Files that no commit ever named, left behind by failed statements, and old results of consumed streams go too.
     Clones share files, so a file stays while any table's newest snapshot has it. Payloads of changes after a stream's
     offset stay too; offsets has the least offset per table id. Dropped tables count as empty from when they were
     dropped. The number of deleted data files is returned.
@@ -70,7 +72,12 @@ def collect_garbage(spark: SparkSession, store: Store, catalog: Catalog, cutoff:
         for entry in table.entries():
             paths |= {f["mp_id"]: f["path"] for f in entry["add"]}
             removed |= {m: entry["commit_ts"] for m in entry["remove"]}
-            keep |= {c["path"] for c in entry["changes"] if table_id in offsets and c["seq_end"] > offsets[table_id]}
+            for c in entry["changes"]:
+                if table_id in offsets and c["seq_end"] > offsets[table_id]:
+                    keep.add(c["path"])
+                elif not c["data"]:
+                    removed.setdefault(c["path"], entry["commit_ts"])
+                    paths.setdefault(c["path"], c["path"])
         if table_id in dropped:
             removed = {m: dropped[table_id] for m in paths} | removed
         for m, path in paths.items():
@@ -81,7 +88,12 @@ def collect_garbage(spark: SparkSession, store: Store, catalog: Catalog, cutoff:
     doomed = [p for p in gone if p not in keep and store.exists(p)]
     for path in doomed:
         store.delete(path)
-    return len(doomed)
+    named = {p.rsplit("/", 1)[0].rsplit("/", 1)[1] for p in keep | set(gone)}
+    for folder in [*(f"tables/{i}/{area}" for i in sorted(ids) for area in ("data", "cdc")), "results"]:
+        for left in store.untouched(folder, cutoff // 1000 - GRACE_MILLIS):
+            if left.rsplit("/", 1)[1] not in named:
+                store.delete(left)
+    return sum("/cdc/" not in path for path in doomed)
 
 
 def backup(catalog: Catalog, tables: dict[str, tuple[VersionedTable, Snapshot]], since: dict[str, int] | None = None) -> dict[str, Any]:

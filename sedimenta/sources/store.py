@@ -12,11 +12,17 @@ class FileExists(Exception):
     pass
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system: a bare one belongs to the cluster's default file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target))
+
+
 class Store:
     """Files below a root folder, by relative name."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root = (root if ":" in root else f"file://{root}").rstrip("/")
+        self.root = qualified(spark, root).rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self.path("").getFileSystem(self._conf)
@@ -39,6 +45,10 @@ class Store:
     def folders(self, name: str) -> list[str]:
         return sorted(str(s.getPath()) for s in self._fs.listStatus(self.path(name)) if s.isDirectory()) if self.exists(name) else []
 
+    def untouched(self, name: str, before_millis: int) -> list[str]:
+        """Folders directly below one that were last changed before a time."""
+        return sorted(str(s.getPath()) for s in self._fs.listStatus(self.path(name)) if s.isDirectory() and s.getModificationTime() < before_millis) if self.exists(name) else []
+
     def read(self, name: str) -> Any:
         stream = self._fs.open(self.path(name))
         try:
