@@ -95,7 +95,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str) -> Data
 
 def file_references(manifests: DataFrame, restores: DataFrame) -> DataFrame:
     """Distinct (ref_table, ref_id, mp_id, at) of current manifests of any kind and of restores."""
-    newest = F.max_by(F.struct("created_at", F.col("tables.mp_ids").alias("lists")), "loaded_at").alias("r")
+    newest = F.max(F.struct("loaded_at", "created_at", F.col("tables.mp_ids").alias("lists"))).alias("r")
     current = manifests.where("backup_id is not null").groupBy("backup_id").agg(newest)
     backed = current.select(F.lit("backup_manifests").alias("ref_table"), F.col("backup_id").alias("ref_id"), F.col("r.created_at").alias("at"), F.explode("r.lists").alias("ids")).select("ref_table", "ref_id", F.explode("ids").alias("mp_id"), "at")
     restored = restores.where("restore_id is not null").select(F.lit("restore_results").alias("ref_table"), F.col("restore_id").alias("ref_id"), F.explode("mps_missing").alias("mp_id"), F.col("restored_at").alias("at"))

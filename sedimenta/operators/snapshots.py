@@ -97,8 +97,8 @@ def manifest_changes(manifests: DataFrame) -> DataFrame:
     entry with all its mp_ids and the smallest of its names and owners. Null ids in mp_ids and entries without a
     table_id are ignored.
     """
-    newest = F.max_by(F.struct("db_id", "created_at", "tables", "incremental_from"), "loaded_at").alias("r")
-    current = manifests.where("backup_id is not null").groupBy("backup_id").agg(newest).select("backup_id", "r.*")
+    newest = F.max(F.struct("loaded_at", "db_id", "created_at", "incremental_from", "tables")).alias("r")
+    current = manifests.where("backup_id is not null").groupBy("backup_id").agg(newest).select("backup_id", "r.db_id", "r.created_at", "r.incremental_from", "r.tables")
     full = staged(current.where(blank(F.col("incremental_from")) & F.col("tables").isNotNull()).select("db_id", "backup_id", "created_at", "tables"), "manifests")
     entry = full.select("backup_id", F.explode("tables").alias("t")).where("t.table_id is not null")
     ids = entry.select("backup_id", F.col("t.table_id").alias("table_id"), F.lower(F.trim("t.name")).alias("name"), F.col("t.owner").alias("owner"), F.array_compact(F.coalesce("t.mp_ids", F.array().cast("array<bigint>"))).alias("mp_ids"))
