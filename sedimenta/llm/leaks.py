@@ -32,7 +32,9 @@ RARE_HELD = 0.2  # share of them that a page has to hold
 LEAST_HALF = 0.5  # share of the item's words
 LEAST_PASSAGE = 12  # words of a running passage
 DENSE = 0.5  # least share of a passage's words that are found undamaged
-ANSWERS = 0.5  # least share of the rare words in the passages that are found
+ANSWERS = 0.5  # least share of the rare words found in the passages for those without any to count by themselves
+PART_GAP = 90  # words of the page from a passage to one that goes on from it
+SAME_STRETCH = 1.5  # most times that the stretch of one is that of the other
 ITEM_GAP = 4  # damaged words inside a passage
 DOC_GAP = 45  # words of other columns and adverts inside a passage
 SLOTS = 64  # partial matrices that one task adds up
@@ -275,25 +277,41 @@ def passages_held(page: np.ndarray, item: np.ndarray) -> list[list[tuple[int, in
     return [p for p in out if (span := p[-1][0] - p[0][0] + 1) >= LEAST_PASSAGE and len(p) >= DENSE * span]
 
 
+def runs_on(passages: list[list[tuple[int, int]]], answered: list[bool]) -> list[bool]:
+    """Passages with answers, and those that go on from one of them in the page at about the same stretch.
+
+    The stretch is page words per item word: two columns read as one double it, common phrases elsewhere are spread.
+    """
+    wide = [(p[-1][1] - p[0][1] + 1) / (p[-1][0] - p[0][0] + 1) for p in passages]
+    sure = answered[:]
+    near = [b[0][1] - a[-1][1] <= PART_GAP and max(v, w) <= SAME_STRETCH * min(v, w) for a, b, v, w in zip(passages, passages[1:], wide, wide[1:])]
+    for i, n in enumerate(near):
+        sure[i + 1] |= sure[i] and n
+    for i in range(len(near) - 1, -1, -1):
+        sure[i] |= sure[i + 1] and near[i]
+    return sure
+
+
 def held_share(page: np.ndarray, item: np.ndarray, rare: np.ndarray | None = None) -> float:
     """Share of the item's words that the page holds in order in running passages; damaged words inside count as held.
 
-    rare has the codes of the item's answers, its rare words. Where fewer than ANSWERS of those in the passages are
-    found, the passages are common phrases that happen to come in the same order, and nothing is held. For the same
-    reason a passage without any of them counts only if it runs on in the page too, nothing between its words.
+    rare has the codes of the item's answers, its rare words. Passages without any of them may be common phrases that
+    happen to come in the same order: they count if they go on from a passage with answers (see runs_on), or, where at
+    least ANSWERS of the rare words in the passages are found, if nothing stands between their words in the page.
+    Damage may hit most answers, so passages that run on from one count however few are found.
     """
-    held = asked = given = 0
+    passages = passages_held(page, item)
     answers = set() if rare is None else set(rare.tolist())
-    for passage in passages_held(page, item):
-        first, last = passage[0][0], passage[-1][0]
-        is_answer = [w in answers for w in item[first : last + 1].tolist()]
-        found = sum(is_answer[i - first] for i, _ in passage)
-        if answers and not found and passage[-1][1] - passage[0][1] > last - first + ITEM_GAP:
-            continue
-        asked += sum(is_answer)
-        given += found
-        held += last - first + 1
-    return held / len(item) if held and (asked < 2 or given >= ANSWERS * asked) else 0.0
+    spans = [(p[0][0], p[-1][0]) for p in passages]
+    if not answers:
+        return sum(last - first + 1 for first, last in spans) / len(item) if passages else 0.0
+    asked = [sum(w in answers for w in item[first : last + 1].tolist()) for first, last in spans]
+    given = [sum(int(item[i]) in answers for i, _ in p) for p in passages]
+    sure = runs_on(passages, [g > 0 for g in given])
+    whole = [s or p[-1][1] - p[0][1] <= last - first + ITEM_GAP for s, p, (first, last) in zip(sure, passages, spans)]
+    of_whole = sum(a for a, w in zip(asked, whole) if w)
+    counted = whole if of_whole < 2 or sum(given) >= ANSWERS * of_whole else sure
+    return sum(last - first + 1 for (first, last), c in zip(spans, counted) if c) / len(item) if passages else 0.0
 
 
 def rare_words(codes: np.ndarray, counts: np.ndarray, passages: int) -> np.ndarray:

@@ -97,3 +97,23 @@ def test_held_share():
     assert leaks.held_share(item[:11], item) == 0
     assert leaks.held_share(np.zeros(0, int), item) == 0
     assert leaks.held_share(np.r_[item[20:], np.full(60, 99), item[:20]], item) == 0.5
+
+
+def test_damaged_answers_do_not_drop_a_long_passage():
+    item = np.arange(80)
+    rare = np.array([3, 17, 31, 45, 59, 73])
+    read = item.copy()
+    read[rare[2:]] = 5000 + rare[2:]  # four of six answers misread
+    mixed = np.concatenate([np.r_[read[i : i + 8], np.arange(9000 + i, 9008 + i)] for i in range(0, 80, 8)])  # another column between the lines
+    assert leaks.held_share(mixed, item, rare) >= 0.9
+    lost = mixed.copy()
+    lost[np.isin(lost, rare)] = 7000  # none left: common phrases in the same order
+    assert leaks.held_share(lost, item, rare) == 0
+
+
+def test_passage_without_answers_goes_on_or_is_a_phrase():
+    item, rare = np.arange(80), np.array([3, 10, 17, 24, 60])
+    start = np.concatenate([np.r_[item[i : i + 8], np.arange(9000 + i, 9008 + i)] for i in range(0, 32, 8)])
+    rest = np.concatenate([np.r_[item[i : i + 8], np.arange(9500 + i, 9508 + i)] for i in range(40, 56, 8)])
+    assert leaks.held_share(np.r_[start, rest], item, rare) > 0.5
+    assert leaks.held_share(np.r_[start, np.full(200, 9999), rest], item, rare) < 0.5
