@@ -24,6 +24,8 @@ ZSTD_MAGIC = 0xFD2FB528
 SKIPPABLE_MAGIC = 0x184D2A50  # low four bits free
 FRAME_ROWS = 65_536  # records in one frame; longer files are sequences of frames
 PACK_FILES = 10_000  # files packed by one task
+# Times in stored records keep their microseconds, and their offset to the second.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 MEMBER = T.StructType(
     [
@@ -151,7 +153,7 @@ def encode_frames(records: DataFrame, files: DataFrame) -> DataFrame:
     kept = records.where("mp_id is not null and row_ordinal is not null").join(files.select("mp_id"), "mp_id", "left_semi")
     rest = [c for c in kept.columns if c not in ("mp_id", "row_ordinal", "written_at")]
     stored = kept.groupBy("mp_id", "row_ordinal").agg(F.max(F.struct("written_at", *rest)).alias("r"))
-    line = F.to_json(F.struct("mp_id", "row_ordinal", *[F.col(f"r.{c}").alias(c) for c in ["written_at", *rest]]))
+    line = F.to_json(F.struct("mp_id", "row_ordinal", *[F.col(f"r.{c}").alias(c) for c in ["written_at", *rest]]), TIMES)
     chunks = (
         stored.select("mp_id", F.floor(F.col("row_ordinal") / FRAME_ROWS).cast("long").alias("frame_no"), F.struct("row_ordinal", line.alias("line")).alias("l"))
         .groupBy("mp_id", "frame_no")
@@ -244,9 +246,9 @@ def decode_merged(merged: DataFrame, schema: T.StructType) -> DataFrame:
             for data in batch.column("data").to_pylist():
                 reader = zstandard.ZstdDecompressor()
                 text = b"".join(reader.decompress(data[a:b]) for a, b in frame_spans(data))
-                yield pa.record_batch([pa.array(text.decode().splitlines(), pa.string())], names=["line"])
+                yield pa.record_batch([pa.array(text.decode().split("\n")[:-1], pa.string())], names=["line"])
 
-    return merged.select("data").mapInArrow(lines, "line string").select(F.from_json("line", schema).alias("r")).select("r.*")
+    return merged.select("data").mapInArrow(lines, "line string").select(F.from_json("line", schema, TIMES | {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def compact_files(spark: SparkSession, source: str, target: str, kind: str = "lines", target_bytes: int = 128 << 20, header: bytes | None = None, suffix: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sedimenta.operators import compaction as c
 from tests.conftest import rows
@@ -44,6 +45,18 @@ def test_merged_files_hold_each_record_once(spark):
     assert got == [(1, 0, 100, "later", 1.5), (1, 1, 1, None, -0.0), (1, 2, 2, None, -0.0)]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_records_come_back_unchanged(spark, kind):
+    scans, files, configs, _ = small_case(spark)
+    at = datetime.datetime(2025, 1, 1, 2, 3, 4, 123456)
+    names = ["a\u0085b", "a\u2028b", "a\u2029b", "a\nb\r\nc", "a\x0b\x0c\x1c\x1d\x1eb", "", " \"\\ "]
+    stored = [(1 if i < 3 else 3, i % 3 if i < 3 else i - 3, 7, i, name, float("inf") if i else None, at + datetime.timedelta(microseconds=i)) for i, name in enumerate(names[:6])]
+    records = spark.createDataFrame(stored + [(3, 9, 7, 9, names[6], -0.0, datetime.datetime(1850, 1, 1, 0, 0, 0, 1))], f"mp_id long, row_ordinal int, table_id long, id long, name string, amount double, written_at {kind}")
+    configs = configs.withColumn("merge_target_rows", F.lit(100).cast("long"))
+    merged = c.compact(scans, files, configs, records)
+    assert rows(c.decode_merged(merged, records.schema)) == rows(records)
+
+
 def test_empty_tables(spark):
     assert c.compact(*tables(spark, [], [], [], [])).collect() == []
 
