@@ -229,14 +229,14 @@ def fit(documents: DataFrame) -> Filters:
     return Filters.build(fit_masks([(r[0], label_index(r[1])) for r in rows]))
 
 
-PASSAGES = "doc_id {key}, lang_label string, lang string, first_word int, words int, running int, confidence double"
+PASSAGES = "doc_id {key}, lang_label string, copy long, lang string, first_word int, words int, running int, confidence double"
 
 
 def tag(documents: DataFrame) -> DataFrame:
-    """One row per passage: (doc_id, lang_label, lang, first_word, words, running, confidence).
+    """One row per passage: (doc_id, lang_label, copy, lang, first_word, words, running, confidence).
 
     A passage is a longest stretch of words in one language; running counts its words of running text and confidence is
-    their mean score less the best other language's, from 0 to 1. Null, empty and blank texts have no passages.
+    their mean score less the best other language's, from 0 to 1. copy is a hash of the text. Null, empty and blank texts have no passages.
     """
     filters = fit(documents)
     shared = documents.sparkSession.sparkContext.broadcast(filters.table)
@@ -263,28 +263,31 @@ def tag(documents: DataFrame) -> DataFrame:
                         column.extend(values)
                 at = pa.array(columns[0], pa.int64())
                 yield pa.record_batch(
-                    [some.column(0).take(at), some.column(2).take(at), pa.array([LANGUAGES[i] for i in columns[1]], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.float64())],
-                    names=["doc_id", "lang_label", "lang", "first_word", "words", "running", "confidence"],
+                    [some.column(0).take(at), some.column(2).take(at), some.column(3).take(at), pa.array([LANGUAGES[i] for i in columns[1]], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.float64())],
+                    names=["doc_id", "lang_label", "copy", "lang", "first_word", "words", "running", "confidence"],
                 )
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(run, PASSAGES.format(key=key))
+    return documents.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(run, PASSAGES.format(key=key))
 
 
 def page_languages(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang_label, lang, running, confidence): the languages in which a page has LEAST_WORDS running words."""
+    """(doc_id, lang_label, copy, lang, running, confidence): the languages in which a page has LEAST_WORDS running words.
+
+    Rows that repeat doc_id, label and text count once; different texts of a doc_id are not added up.
+    """
     weight = F.col("confidence") * F.col("running")
-    per_page = tag(documents).groupBy("doc_id", "lang_label", "lang").agg(F.sum("running").cast("int").alias("running"), (F.sum(weight) / F.greatest(F.sum("running"), F.lit(1))).alias("confidence"))
+    per_page = tag(documents).distinct().groupBy("doc_id", "lang_label", "copy", "lang").agg(F.sum("running").cast("int").alias("running"), (F.sum(weight) / F.greatest(F.sum("running"), F.lit(1))).alias("confidence"))
     return per_page.where(F.col("running") >= LEAST_WORDS)
 
 
 def mislabelled(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, confidence) of pages whose label is missing, meaningless or wrong, or that are in several languages.
 
-    Repeated rows of a page are judged once, rows of one doc_id with different labels each by its own label.
+    Repeated rows of a page are judged once, rows of one doc_id with different labels or texts each by its own.
     """
     plain = F.regexp_extract(F.lower(F.regexp_replace("lang_label", r"\s+", "")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     named = F.create_map(*[F.lit(x) for code, i in _INDEX.items() for x in (code, LANGUAGES[i])])
-    pages = page_languages(documents).groupBy("doc_id", "lang_label").agg(F.collect_set(F.struct("lang", "confidence")).alias("found"))
+    pages = page_languages(documents).groupBy("doc_id", "lang_label", "copy").agg(F.collect_set(F.struct("lang", "confidence")).alias("found"))
     label = F.coalesce(F.try_element_at(named, plain), F.lit(""))
     wrong = (F.size(F.array_distinct("found.lang")) > 1) | (F.element_at("found", 1).getField("lang") != label)
     return pages.where(wrong).select("doc_id", F.explode("found").alias("f")).groupBy("doc_id", F.col("f.lang").alias("lang")).agg(F.max("f.confidence").alias("confidence"))

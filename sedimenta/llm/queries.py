@@ -22,7 +22,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """Every passage of every page with its language and confidence."""
-    return languages.tag(read(spark, d, "documents")).drop("lang_label")
+    return languages.tag(read(spark, d, "documents")).drop("lang_label", "copy")
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found, p9_passages)}

@@ -58,6 +58,19 @@ def test_mislabelled(spark, corpus):
     assert {(r[0], r[1]) for r in got} == truth and all(0 < r[2] <= 1 for r in got)
 
 
+def test_repeats_of_a_page_are_not_added_up(spark, corpus):
+    data, truth = corpus
+    short = [r for r in data if r[1] and r[0] not in {d for d, _ in truth}]
+    assert any("\n" in r[1] for r in short)
+    again = data + [r for r in short for _ in range(3)]  # pages with too little of a second language, delivered four times
+    got = languages.mislabelled(spark.createDataFrame(again, "doc_id long, text string, lang string")).collect()
+    assert {(r[0], r[1]) for r in got} == truth
+    rnd = random.Random(4)
+    parts = [(5000, page(rnd, "en", 40) + "\n" + page(rnd, "fr", 12), "en") for _ in range(3)]  # other texts under one id, none with enough French
+    got = languages.mislabelled(spark.createDataFrame(data + parts, "doc_id long, text string, lang string")).collect()
+    assert {(r[0], r[1]) for r in got} == truth
+
+
 def test_passages_cover_all_words(spark, corpus):
     data, _ = corpus
     tagged = languages.tag(spark.createDataFrame(data, "doc_id long, text string, lang string").dropDuplicates(["doc_id"])).groupBy("doc_id").agg({"words": "sum"})
