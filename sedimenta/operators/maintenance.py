@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sedimenta.catalog import Catalog
 from sedimenta.operators.dml import Edit
@@ -13,6 +14,7 @@ from sedimenta.sources.store import Store
 from sedimenta.sources.table import Snapshot, VersionedTable, now_micros
 
 MERGE_LEAST_FILES, MERGE_TARGET_ROWS = 8, 500_000
+SLICE_ROWS, MOST_SLICES = 1_000_000, 1_000  # of a histogram's ranking
 GRACE_MILLIS = 3_600_000  # a statement may still be about to commit what it wrote
 
 
@@ -40,12 +42,28 @@ def zone_maps(table: VersionedTable, snapshot: Snapshot) -> list[tuple]:
 
 
 def histogram(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> DataFrame:
-    """(bucket, low, high, n): equi-height buckets of the non-null values, from quantiles off by 1 / accuracy at most."""
-    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], accuracy)).first()[0] or []
-    number = F.lit(1)
-    for cut in cuts:
-        number = number + F.when(F.col(column) > cut, 1).otherwise(0)
-    return df.where(F.col(column).isNotNull()).groupBy(number.alias("bucket")).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"))
+    """(bucket, low, high, n): equi-height buckets of the non-null values, equal to ntile over all of them in order.
+
+    Equal values are counted first. Slices of about SLICE_ROWS rows, cut at approximate quantiles of the given accuracy,
+    are ranked apart and offset by the counts before; the accuracy moves the slices, not the result.
+    """
+    some = df.where(F.col(column).isNotNull())
+    total = some.count()
+    slices = min(MOST_SLICES, total // SLICE_ROWS + 1)
+    cuts = some.agg(F.percentile_approx(column, [i / slices for i in range(1, slices)], accuracy)).first()[0] if slices > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    counted = some.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("slice", at)
+    before = counted.groupBy("slice").agg(F.sum("c").alias("own")).withColumn("offset", F.sum("own").over(Window.orderBy("slice")) - F.col("own"))
+    last = F.col("offset") + F.sum("c").over(Window.partitionBy("slice").orderBy("v"))
+    ranked = counted.join(before, "slice").select("v", (last - F.col("c")).alias("first"), (last - 1).alias("last"))
+    # The first total % buckets buckets have one value more; rank r counts from 0.
+    each, more = divmod(total, buckets)
+    edge = more * (each + 1)
+    of = lambda r: F.when(r < edge, F.floor(r / (each + 1))).otherwise(more + F.floor((r - edge) / max(each, 1))).cast("int")
+    start = lambda b: b.cast("long") * each + F.least(b, F.lit(more))
+    parts = ranked.select("v", "first", "last", F.explode(F.sequence(of(F.col("first")), of(F.col("last")))).alias("b"))
+    held = F.least(F.col("last") + 1, start(F.col("b") + 1)) - F.greatest("first", start(F.col("b")))
+    return parts.groupBy((F.col("b") + 1).alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum(held).alias("n"))
 
 
 def most_common(df: DataFrame, column: str, top: int) -> DataFrame:

@@ -482,7 +482,7 @@ def sql_udf_in_where(spark, d):
 
 
 def histogram_equi_height(spark, d):
-    """Four buckets of order keys; quantiles are exact at this accuracy."""
+    """Four buckets of order keys by exact ranks."""
     return maintenance.histogram(read(spark, d, "orders"), "o_orderkey", 4, accuracy=1_000_000)
 
 

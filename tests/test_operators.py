@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.operators import changefeed, common, hierarchy, joins, orphans, outliers, snapshots
+from sedimenta.operators import changefeed, common, hierarchy, joins, maintenance, orphans, outliers, snapshots
 from tests.conftest import rows
 
 DAY = datetime.timedelta(1)
@@ -244,3 +244,17 @@ def test_heavy_keys_are_few(spark):
 def test_current_rows(spark):
     frame = spark.createDataFrame([(1, "a", TS), (1, "b", TS + DAY), (1, "b", TS + DAY), (2, "c", None), (None, "d", TS)], "k long, v string, loaded_at timestamp")
     assert rows(common.current_rows(frame, "k", ["k", "v"])) == [(1, "b"), (2, "c")]
+
+
+# Histograms --------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("values", [list(range(5003)), [3] * 700 + list(range(301)), [1, 2], [None, 5], []])
+@pytest.mark.parametrize("slice_rows", [100, 1_000_000])
+def test_histogram_is_exact_at_any_accuracy(spark, monkeypatch, values, slice_rows):
+    monkeypatch.setattr(maintenance, "SLICE_ROWS", slice_rows, raising=False)
+    mixed = values[:]
+    random.Random(1).shuffle(mixed)
+    ordered = sorted(v for v in values if v is not None)
+    want = [(b + 1, int(part[0]), int(part[-1]), len(part)) for b, part in enumerate(np.array_split(ordered, 4)) if len(part)]
+    assert rows(maintenance.histogram(spark.createDataFrame([(v,) for v in mixed], "v long"), "v", 4, accuracy=5)) == want
