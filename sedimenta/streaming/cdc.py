@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +15,7 @@ from sedimenta.sources.table import ROW_ID, VersionedTable, footer_stats
 
 # Metadata columns of a stream.
 METADATA = ("METADATA$ACTION", "METADATA$ISUPDATE", "METADATA$ROW_ID", "METADATA$TXN_ID", "METADATA$COMMIT_TS", "METADATA$SEQUENCE")
-CHECKED_FILES = 256  # payload files whose presence and length the driver verifies itself
+CHECKED_FILES = 256  # payload files whose presence and length the driver verifies itself; tasks verify the others, so many each
 
 
 class Offset:
@@ -39,6 +42,28 @@ def records(table: VersionedTable, after: int, through: int | None = None) -> li
     return [c for c in found if c["seq_end"] > after and (through is None or c["seq_start"] <= through)]
 
 
+def payload_fault(path: str, rows: int) -> str | None:
+    """What is wrong with a payload file: that it is not there or has fewer rows than recorded."""
+    try:
+        return f"{path} is short" if footer_stats(path, [])["rows"] < rows else None
+    except FileNotFoundError:
+        return path
+
+
+def first_fault(spark: SparkSession, found: list[dict]) -> str | None:
+    """A fault of the first faulty one of the files, whose footers are read by tasks; one row reaches the driver."""
+    if not found:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            faults = [payload_fault(path, rows) for path, rows in zip(batch.column("path").to_pylist(), batch.column("rows").to_pylist())]
+            yield pa.record_batch([batch.column("at"), pa.array(faults, pa.string())], names=["at", "fault"])
+
+    listed = spark.createDataFrame([(i, c["path"], c["rows"]) for i, c in enumerate(found)], "at long, path string, rows long").repartition(-(-len(found) // CHECKED_FILES), "at")
+    return listed.mapInArrow(run, "at long, fault string").where("fault is not null").agg(F.min_by("fault", "at")).first()[0]
+
+
 def changes(table: VersionedTable, after: int, through: int | None = None, verify: bool = True) -> DataFrame:
     """The table's current columns and METADATA of all changes with a sequence in (after, through].
 
@@ -53,10 +78,10 @@ def changes(table: VersionedTable, after: int, through: int | None = None, verif
         return table.spark.createDataFrame([], out)
     if verify:
         for record in found[:CHECKED_FILES]:
-            if not table.store.exists(record["path"]):
-                raise StreamPayloadMissing(record["path"])
-            if footer_stats(record["path"], [])["rows"] < record["rows"]:
-                raise StreamPayloadMissing(f"{record['path']} is short")
+            if fault := payload_fault(record["path"], record["rows"]):
+                raise StreamPayloadMissing(fault)
+        if fault := first_fault(table.spark, found[CHECKED_FILES:]):
+            raise StreamPayloadMissing(fault)
     keyed = [(c["path"].rsplit("/", 2)[1] + "/" + c["path"].rsplit("/", 1)[1], c["seq_start"], c["action"], c["is_update"], c["txn_id"], c["commit_ts"]) for c in found]
     about = table.spark.createDataFrame(keyed, "__key string, __start long, __action string, __update boolean, __txn long, __ts long")
     raw = table.spark.read.schema(head.stored_schema()).parquet(*[c["path"] for c in found])

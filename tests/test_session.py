@@ -1,6 +1,7 @@
 import pytest
 
-from sedimenta.errors import AlreadyExists, AmbiguousRelation, AnalysisError, EngineError, NotEmpty, PermissionDenied, StreamConcurrentConsume, TableNotFound, TransactionConflict, UnsupportedStatement
+from sedimenta.errors import AlreadyExists, AmbiguousRelation, AnalysisError, EngineError, NotEmpty, PermissionDenied, StreamConcurrentConsume, StreamPayloadMissing, TableNotFound, TransactionConflict, UnsupportedStatement
+from sedimenta.sources.table import VersionedTable
 from sedimenta.streaming import cdc
 from tests.conftest import rows
 
@@ -121,6 +122,27 @@ def test_stream_updates_and_deletes(session):
     assert session.sql("SELECT * FROM s").columns[:3] == ["id", "status", "METADATA$ACTION"]
 
 
+@pytest.mark.parametrize("fault", ["short", "missing"])
+def test_stream_payload_is_checked_beyond_the_driver_files(session, engine, monkeypatch, fault):
+    import os
+
+    import pyarrow.parquet as pq
+
+    session.sql("CREATE TABLE t (id INT); CREATE STREAM s ON TABLE t")
+    for i in range(4):
+        session.sql(f"INSERT INTO t VALUES ({i}), ({i + 10})")
+    monkeypatch.setattr(cdc, "CHECKED_FILES", 1)
+    table = VersionedTable(engine.spark, engine.store, engine.catalog.find("tables", ("main", "public", "t"))["id"])
+    assert len(rows(cdc.changes(table, 0))) == 8
+    path = cdc.records(table, 0)[-1]["path"].removeprefix("file:").replace("///", "/")
+    whole = pq.read_table(path)
+    os.remove(path)
+    if fault == "short":
+        pq.write_table(whole.slice(0, whole.num_rows - 1), path)
+    with pytest.raises(StreamPayloadMissing):
+        cdc.changes(table, 0)
+
+
 def test_stream_conflict_and_names(session, engine):
     session.sql("CREATE TABLE t (id INT); CREATE STREAM s ON TABLE t; INSERT INTO t VALUES (1)")
     offset = cdc.Offset(engine.store, engine.catalog.find("streams", ("main", "public", "s"))["id"])
