@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_merged(spark: SparkSession, d: str) -> DataFrame:
     """The records of all merged files, read back from their bytes."""
     rows = read(spark, d, "mp_rows")
-    return compaction.decode_merged(_merged(spark, d), rows.schema).select("mp_id", "row_ordinal", "table_id", "id", "name", "amount")
+    return compaction.decode_merged(_merged(spark, d), rows.schema).select("mp_id", "row_ordinal", "table_id", "id", "name", "amount", "written_at")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.rebuild(read(spark, d, "cdc_batches"), scratch_path(spark, "changefeed")).read().select("table_id", "row_id", "sequence")
 
 
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that exist at the end, with the values of their last change."""
+    return changefeed.rebuild(read(spark, d, "cdc_batches"), scratch_path(spark, "changefeed")).read().select("table_id", "row_id", "sequence", "txn_id", "status", "quantity")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     flagged = outliers.flag_readings(read(spark, d, "heartbeats"), ["cpu_usage", "memory_usage"])
     return flagged.select(F.col("id").alias("heartbeat_id"), "metric").distinct()
@@ -56,7 +61,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(staged(_orphans(spark, d), "orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p2_found, p3_found, p4_found, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p2_found, p3_found, p3_rows, p4_found, p5_found, p6_found, p6_report)}
 
 _P1 = """
 WITH cur AS (SELECT mp_id, arg_max(table_id, loaded_at) AS table_id, arg_max(schema_id, loaded_at) AS schema_id, arg_max(active, loaded_at) AS active FROM micro_partitions GROUP BY mp_id),
@@ -96,7 +101,7 @@ found AS (SELECT r.*, CASE WHEN p.mp_id IS NULL THEN 'missing' WHEN p.purged_at
 """
 SQL = {
     "p1_found": _P1 + "SELECT table_id, mp_id FROM found",
-    "p1_merged": _P1 + """SELECT r.mp_id, r.row_ordinal, r.table_id, r.id, r.name, r.amount FROM (SELECT * FROM mp_rows WHERE mp_id IN (SELECT mp_id FROM found)
+    "p1_merged": _P1 + """SELECT r.mp_id, r.row_ordinal, r.table_id, r.id, r.name, r.amount, r.written_at FROM (SELECT * FROM mp_rows WHERE mp_id IN (SELECT mp_id FROM found)
       QUALIFY row_number() OVER (PARTITION BY mp_id, row_ordinal ORDER BY written_at DESC, table_id DESC, id DESC, name DESC NULLS LAST, amount DESC NULLS LAST) = 1) r""",
     "p2_found": """
 WITH cur AS (SELECT DISTINCT b.backup_id, b.db_id, b.created_at, b.tables, b.incremental_from FROM backup_manifests b JOIN (SELECT backup_id, max(loaded_at) AS m FROM backup_manifests GROUP BY 1) x ON x.backup_id = b.backup_id AND x.m = b.loaded_at),
@@ -112,6 +117,10 @@ WHERE a.table_id IS NULL OR b.table_id IS NULL OR a.name IS DISTINCT FROM b.name
     "p3_found": """
 SELECT table_id, row_id, max(s) AS sequence FROM (SELECT table_id, unnest(row_ids) AS row_id, unnest(sequences) AS s, unnest(actions) AS a FROM cdc_batches)
 WHERE row_id IS NOT NULL AND s IS NOT NULL GROUP BY table_id, row_id HAVING upper(trim(arg_max(a, s))) IN ('I', 'INSERT')""",
+    "p3_rows": """
+SELECT table_id, row_id, c.s AS sequence, c.x AS txn_id, c.st AS status, c.q AS quantity FROM (SELECT table_id, row_id, arg_max(c, c.s) AS c FROM (
+  SELECT table_id, row_id, {'s': s, 'a': a, 'x': x, 'st': st, 'q': q} AS c FROM (SELECT table_id, unnest(row_ids) AS row_id, unnest(sequences) AS s, unnest(actions) AS a, unnest(txn_ids) AS x, unnest(statuses) AS st, unnest(quantities) AS q FROM cdc_batches)
+  WHERE row_id IS NOT NULL AND s IS NOT NULL) GROUP BY table_id, row_id) WHERE upper(trim(c.a)) IN ('I', 'INSERT')""",
     "p5_found": "WITH RECURSIVE " + _TREE.format(name="m", nodes="SELECT mp_id AS node, arg_max(coalesce(supersedes, -1), loaded_at) AS parent FROM micro_partitions GROUP BY mp_id") + ", "
     + _TREE.format(name="r", nodes="SELECT node, CASE WHEN p <> node THEN p END AS parent FROM (SELECT id AS node, arg_max(coalesce(owner_role_id, -1), loaded_at) AS p FROM roles GROUP BY id)") + _ROWS.format(tree="mp", name="m") + "UNION ALL" + _ROWS.format(tree="role", name="r"),
     "p6_found": _REFS + "SELECT ref_table, ref_id, mp_id, orphan_kind FROM found WHERE orphan_kind IS NOT NULL",
