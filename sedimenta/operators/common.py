@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.sources.store import qualified
 
@@ -17,10 +18,15 @@ HEAVY_FACTOR = 4
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local temporary one only where none is configured."""
+    """The shared folder named in spark.checkpoint.dir; where none is configured, a temporary one in local mode only.
+
+    On a cluster every executor would write to a disk of its own, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sedimenta-")
         atexit.register(shutil.rmtree, root, True)
     if not sc.getCheckpointDir():
@@ -82,14 +88,15 @@ def heavy_keys(df: DataFrame, key: str, partitions: int | None = None) -> list:
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join to a side with unique keys; rows of heavy keys meet a broadcast of just those keys' rows.
 
-    The broadcast holds one row per heavy key, at most one per shuffle partition. Everything else is a shuffled join.
+    The broadcasts hold one row per heavy key, at most one per shuffle partition. Everything else is a shuffled join.
+    Keys may be of any type that can be compared, structs too.
     """
     heavy = heavy_keys(left, key)
     if not heavy:
         return left.join(right, key, how)
-    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    few = F.broadcast(right.where(F.col(key).isin(heavy)))
-    return left.where(hot).join(few, key, how).unionByName(left.where(~hot).join(right, key, how))
+    hot = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in heavy], T.StructType([left.schema[key]])))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
 def blank(column: Column) -> Column:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sedimenta.operators.common import blank, staged
 
 FANOUT_BITS = 4  # children of a tree node: 16
 LEAF_ROWS = 32  # rows aimed at in one leaf
-MOST_LEVELS = 6  # 16 ** 6 leaves at most
+MOST_LEVELS = 15  # 60 bits of the hash
 
 
 def merkle_levels(rows_in_largest_snapshot: int) -> int:
@@ -26,9 +27,32 @@ def leaf_of(levels: int, *keys: str):
     return F.shiftrightunsigned(F.xxhash64(*keys), 64 - FANOUT_BITS * levels)
 
 
-def digest(*columns):
-    """128 bits of digest of a row, as two numbers that can be added up in any order."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+def plain_parts(schema: T.StructType, columns: list[str]) -> list[Column]:
+    """Columns in a form whose hashes tell everything apart.
+
+    Spark's hashes step over nulls and over the bounds of arrays. So every column comes with a flag for null, arrays of
+    plain values also with their length and, where they may hold nulls, with the places of these; other nested values
+    are hashed as JSON texts with their nulls.
+    """
+    parts: list[Column] = []
+    for name in columns:
+        kind, column = schema[name].dataType, F.col(f"`{name}`")
+        parts.append(column.isNull())
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType)):
+            parts += [F.size(column), column]
+            if kind.containsNull:
+                parts.append(F.transform(column, lambda x: x.isNull()))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.to_json(F.struct(column), {"ignoreNullFields": "false"}))
+        else:
+            parts.append(column)
+    return parts
+
+
+def digests(schema: T.StructType, columns: list[str]) -> list[Column]:
+    """128 bits of digest of a row as two numbers, a and b, that can be added up in any order."""
+    parts = plain_parts(schema, columns)
+    return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b")]
 
 
 def _sum64(column):
@@ -48,7 +72,7 @@ def diff_snapshots(rows: DataFrame, pairs: DataFrame, series: str, snapshot: str
     largest = rows.groupBy(snapshot).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     levels = merkle_levels(largest)
     # Written once: the tree, and then the rows of differing leaves, are both read from it.
-    hashed = staged(rows.select(snapshot, key, leaf_of(levels, key).alias("node"), F.xxhash64(key, *payload).alias("a"), F.xxhash64(F.lit("second"), key, *payload).alias("b")), "merkle")
+    hashed = staged(rows.select(snapshot, key, leaf_of(levels, key).alias("node"), *digests(rows.schema, [key, *payload])), "merkle")
     tree = {levels: staged(hashed.groupBy(snapshot, "node").agg(_sum64(F.col("a")).alias("da"), _sum64(F.col("b")).alias("db"), F.count(F.lit(1)).alias("n")), "leaves")}
     for level in range(levels - 1, -1, -1):
         below = tree[level + 1]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -18,11 +21,61 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target))
 
 
+# Object stores, where a file appears whole when it is closed and a rename is a copy.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn", "obs")
+
+
+def publish(spark: SparkSession, path: str, data: bytes) -> None:
+    """Put a new file in its place in one step; FileExists if there is one already, any other fault as it is.
+
+    The bytes are written under a hidden name first, so neither a reader nor a writer that dies in between ever leaves
+    a part of them under the final one. Then the hidden file is linked (local files) or renamed without overwriting.
+    """
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    scheme = target.toUri().getScheme()
+    if fs.exists(target):
+        raise FileExists(path)
+    if scheme == "file":
+        name = target.toUri().getPath()
+        folder, last = os.path.split(name)
+        os.makedirs(folder, exist_ok=True)
+        hidden = f"{folder}/.{last}.{uuid.uuid4().hex}"
+        try:
+            with open(hidden, "wb") as out:
+                out.write(data)
+                out.flush()
+                os.fsync(out.fileno())
+            os.link(hidden, name)
+        except FileExistsError:
+            raise FileExists(path) from None
+        finally:
+            if os.path.exists(hidden):
+                os.remove(hidden)
+        return
+    hidden = target if scheme in OBJECT_STORES else jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    try:
+        out = fs.create(hidden, False)
+        out.write(data)
+        out.close()
+        if hidden is not target:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(hidden, target, sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if hidden is not target:
+            fs.delete(hidden, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            raise FileExists(path) from None
+        raise
+
+
 class Store:
     """Files below a root folder, by relative name."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root = qualified(spark, root).rstrip("/")
+        self.spark, self.root = spark, qualified(spark, root).rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self.path("").getFileSystem(self._conf)
@@ -58,14 +111,7 @@ class Store:
 
     def create(self, name: str, content: Any) -> None:
         """Write a new file; FileExists if there is one already."""
-        if self.exists(name):
-            raise FileExists(name)
-        try:
-            out = self._fs.create(self.path(name), False)
-        except Exception as e:
-            raise FileExists(name) from e
-        out.write(json.dumps(content, default=str).encode())
-        out.close()
+        publish(self.spark, self.uri(name), json.dumps(content, default=str).encode())
 
     def delete(self, name: str) -> bool:
         return self._fs.delete(self.path(name), True)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import changefeed, common, hierarchy, joins, maintenance, orphans, outliers, snapshots
+from sedimenta.sources.store import FileExists, publish
 from tests.conftest import rows
 
 DAY = datetime.timedelta(1)
@@ -64,6 +65,17 @@ def test_merkle_diff_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want) and snapshots.merkle_levels(300) == 2
 
 
+def test_nulls_and_array_bounds_are_changes(spark):
+    kind = "snap string, k long, a string, b string, xs array<int>, ys array<int>, zs array<array<int>>"
+    same = [(1, "x", None, [1], [2], [[1], None]), (2, None, "x", [1, None], [], None)]
+    old = [*same, (3, None, "x", [], [], None), (4, "p", "q", [1, 2], [3], None), (5, "p", "q", [1, None], [3], None), (6, "p", "q", None, [3], None), (7, "p", "q", [1], [3], [[1, 2], [3]]), (8, "", None, [None, 1], [], None)]
+    new = [*same, (3, "x", None, [], [], None), (4, "p", "q", [1], [2, 3], None), (5, "p", "q", [1], [3], None), (6, "p", "q", [], [3], None), (7, "p", "q", [1], [3], [[1], [2, 3]]), (8, None, "", [1, None], [], None)]
+    data = spark.createDataFrame([("s0", *r) for r in old] + [("s1", *r) for r in new], kind)
+    pairs = spark.createDataFrame([(1, "s0", "s1")], "series int, previous string, snap string")
+    got = rows(snapshots.diff_snapshots(data, pairs, "series", "snap", "k", ["a", "b", "xs", "ys", "zs"]))
+    assert got == [(1, "s1", k, "changed") for k in range(3, 9)]
+
+
 # Change feed -------------------------------------------------------------------------------------------------------------
 
 
@@ -93,6 +105,53 @@ def test_feed_in_any_order_and_batches(spark, tmp_path):
         t._publish({"version": version + 1})
 
 
+def test_changes_are_shuffled_once_and_meet_sorted_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changefeed, "GROUP_ROWS", 7)
+    t = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", ["k", "n"], "s", 8)
+    first = spark.range(0, 500).selectExpr("concat('k', id) AS k", "id AS n", "10L AS s", "true AS alive", "CAST(id AS INT) AS c")
+    t.apply(first, "alive")
+    kept = t.manifest()["buckets"]
+    assert len(kept) == 8 and all(len(f) == 1 for f in kept.values())
+    plans = []
+    monkeypatch.setattr(changefeed.BucketedTable, "_merge", lambda self, routed, before, schema, run=changefeed.BucketedTable._merge: (plans.append(routed), run(self, routed, before, schema))[1])
+    later = spark.createDataFrame([("k3", 3, 11, False, None, "new"), ("k3", 3, 9, True, 5, "old"), ("zz", 1, 1, True, 1, "new"), ("k7", 7, 10, True, 99, "same")], "k string, n long, s long, alive boolean, c int, note string")
+    assert t.apply(later, "alive") == 2
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "parquet" not in plan.lower()
+    touched = {str(r[0]) for r in later.selectExpr("pmod(hash(k, n), 8)").collect()}
+    after = t.manifest()["buckets"]
+    assert {b for b in after if after[b] != kept[b]} == touched and len(touched) < 8
+    want = [(f"k{i}", i, 10, i, None) for i in range(500) if i not in (3, 7)] + [("k7", 7, 10, 99, "same"), ("zz", 1, 1, 1, "new")]
+    assert rows(t.read().select("k", "n", "s", "c", "note")) == sorted(want, key=lambda r: r[:2])
+    assert t.read(1).count() == 500
+
+
+def test_feed_is_applied_in_steps_to_its_own_table(spark, tmp_path):
+    rnd = random.Random(9)
+    data = [(b, rnd.choice([1, 2, None]), TS + datetime.timedelta(minutes=rnd.randrange(999)) if b % 9 else None, ["I"] * 3 + ["D"], [f"r{rnd.randrange(30)}" for _ in range(4)], [b * 4 + i for i in range(4)], [b, None, 3, b]) for b in range(120)]
+    batches = spark.createDataFrame(data, "batch_id long, table_id long, arrived_at timestamp, actions array<string>, row_ids array<string>, sequences array<long>, quantities array<int>")
+    want = {}
+    for _, t, _, actions, ids, sequences, quantities in data:
+        for x in zip(sequences, actions, quantities, ids):
+            if t is not None and (t, x[3]) not in want or t is not None and want[t, x[3]][0] < x[0]:
+                want[t, x[3]] = x
+    table = changefeed.rebuild(batches, f"file://{tmp_path}/s")
+    assert table.version() == changefeed.STEPS
+    assert rows(table.read().select("table_id", "row_id", "sequence", "quantity")) == sorted((t, r, x[0], x[2]) for (t, r), x in want.items() if x[1] == "I")
+
+
+def test_a_torn_or_refused_publication(spark, tmp_path):
+    t = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", ["k"], "s", 2)
+    frame = spark.createDataFrame([(1, 1, True)], "k long, s long, alive boolean")
+    t.apply(frame, "alive")
+    (tmp_path / "t/_manifest/.00000000000000000002.json.abc").write_text("")  # a writer that died
+    assert t.version() == 1 and rows(t.read()) == [(1, 1)]
+    assert t.apply(frame.withColumn("s", F.lit(2).cast("long")), "alive") == 2
+    with pytest.raises(Exception) as refused:
+        publish(spark, "file:///proc/no-such-place/x.json", b"{}")
+    assert not isinstance(refused.value, FileExists)
+
+
 def test_feed_batches_with_odd_arrays(spark, tmp_path):
     data = [(1, 5, [" insert", "D", "I", None, "x"], ["a", "a", "b", "c", "d"], [1, 2, 3, 4]), (2, None, ["I"], ["z"], [1]), (3, 5, None, None, None), (4, 5, [], [], []), (5, 5, ["DELETE"], ["b"], [2])]
     batches = spark.createDataFrame(data, "batch_id long, table_id long, actions array<string>, row_ids array<string>, sequences array<long>")
@@ -236,6 +295,29 @@ def test_join_unique_with_heavy_keys(spark, monkeypatch):
     assert rows(common.join_unique(left, right, "k", "inner").select("v", "w")) == [("x", 10), ("y", 10), ("z", 20)]
 
 
+def test_hot_struct_key(spark):
+    """A key that holds most rows, unpatched: keys of any type are joined."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        left = spark.range(0, 150_000).select(F.struct(F.lit("a").alias("t"), F.when(F.col("id") < 149_990, 7).otherwise(F.col("id")).alias("n")).alias("k"), "id")
+        right = spark.createDataFrame([(("a", 7), 1), (("a", 149_995), 2), (("b", 7), 3)], "k struct<t:string,n:long>, v int")
+        assert rows(common.join_unique(left, right, "k", "inner").groupBy("v").count()) == [(1, 149_990), (2, 1)]
+        assert common.join_unique(left, right, "k").where("v is null").count() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://there:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(type("S", (), {"sparkContext": Context}))
+
+
 def test_heavy_keys_are_few(spark):
     frame = spark.range(0, 400_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     assert common.heavy_keys(frame, "k", 16) == [7]
