@@ -273,6 +273,71 @@ def test_readings(spark, monkeypatch, chunk):
     assert got == {(i, "cpu_usage"): r for i, r in want.items()}
 
 
+def hard_series():
+    """Long stuck runs, steps, bursts and a wave, over several sources; no two readings at one time."""
+    rnd = np.random.default_rng(4)
+    data = []
+    for worker in range(1, 7):
+        n = 400
+        v = 0.5 + 0.05 * np.sin(np.arange(n) / (6 + worker)) + rnd.normal(0, 0.01, n)
+        v[60:] += 0.1 * (worker % 3)
+        v[100 + 10 * worker : 160 + 10 * worker] = 0.4444  # a run of 60
+        v[300:306] = 0.6123  # too short
+        v[30], v[200 + 12 * worker], v[299] = 0.9, 0.1, 0.05
+        v[250:253] = (np.nan, np.inf, 7.0)
+        data += [(1000 * worker + i, worker, TS + datetime.timedelta(seconds=(i if i < 200 else 200 + (i - 200) * 0.001) * 30), None if i % 41 == 0 else float(x), float(x) * 0.9 if i < 50 else None, "c", 1) for i, x in enumerate(v)]
+    return data
+
+
+def test_cuts_between_tasks_make_no_difference(spark, monkeypatch):
+    frame = spark.createDataFrame(hard_series(), BEATS).repartition(3)
+    found = {}
+    for chunk in (20_000, 100, 50, 9):
+        monkeypatch.setattr(outliers, "CHUNK", chunk)
+        found[chunk] = rows(outliers.flag_readings(frame, ["cpu_usage", "memory_usage"]).select("id", "metric", "reason"))
+    assert found[20_000] == found[100] == found[50] == found[9]
+    reasons = {}
+    for i, metric, reason in found[9]:
+        reasons.setdefault((reason, metric), []).append(i)
+    assert {1030, 1212, 1299, 6030, 6272, 6299} <= set(reasons["spike", "cpu_usage"]) and len(reasons["spike", "cpu_usage"]) < 25
+    assert {1110, 1169, 6160, 6219} <= set(reasons["stuck", "cpu_usage"]) and not {1109, 1170, 1300, 1305} & set(reasons["stuck", "cpu_usage"])
+
+
+def test_one_source_with_most_readings(spark):
+    """An unpatched hot source, spread over tasks by range."""
+    beats = spark.range(0, 150_000).selectExpr("id AS heartbeat_id", "IF(id % 50 = 0, id % 1000, 7L) AS worker_id", "timestamp_micros(1735689600000000 + id * 1000000) AS sent_at", "0.5 + 0.05 * sin(id / 40) + 0.01 * (rand(3) - 0.5) + IF(id IN (777, 77777), 0.4, 0) AS cpu_usage")
+    found = rows(outliers.flag_readings(beats, ["cpu_usage"]).select("id", "reason"))
+    assert {(777, "spike"), (77777, "spike")} <= set(found) and len(found) < 20
+
+
+def test_cutoffs_follow_the_risk_and_a_heavy_tail(monkeypatch):
+    rnd = np.random.default_rng(1)
+
+    def cut(values, risk):
+        monkeypatch.setattr(outliers, "RISK", risk)
+        excess, counts = np.unique(np.round(values[values > 1] - 1, 2) + 0.005, return_counts=True)
+        return outliers.fit_tail(excess, counts.astype(float), (values > 1).mean())[0]
+
+    light, heavy = abs(rnd.normal(0, 1, 200_000)), abs(rnd.standard_t(4, 200_000))
+    cuts = [cut(light, r) for r in (1e-3, 1e-4, 1e-5, 1e-6)]
+    assert cuts == sorted(cuts) and cuts[3] > cuts[0] + 0.7
+    assert (light - 1 > cuts[1]).mean() < 5e-4
+    assert cut(heavy, 1e-5) > 1.5 * cut(light, 1e-5)
+    assert cut(np.r_[light, np.full(400, 30.0)], 1e-6) < 1.3 * cut(light, 1e-6)  # spikes do not hide each other
+
+
+def test_season_is_found_and_removed():
+    times = np.arange(600) * 60e6 + 1.7e15
+    wave = 0.2 * np.sin(2 * np.pi * times / outliers.PERIOD[30]) + np.random.default_rng(2).normal(0, 0.01, 600) + 0.5
+    m = outliers.measure(wave, outliers.Halo())
+    tried = outliers.periods_tried(times[0], times[-1], 600)
+    season = outliers.fit_season(outliers.season_sums(m, times, tried), tried, 600)
+    assert abs(np.log(season[0] / outliers.PERIOD[30])) < 0.1
+    assert abs(outliers.residuals(m, times, season)[2][20:-20]).mean() < abs(outliers.residuals(m, times, None)[2][20:-20]).mean()
+    noise = outliers.measure(np.random.default_rng(2).normal(0.5, 0.01, 600), outliers.Halo())
+    assert outliers.fit_season(outliers.season_sums(noise, times, tried), tried, 600) is None
+
+
 def test_readings_of_nothing(spark):
     assert outliers.flag_readings(spark.createDataFrame([], BEATS), ["cpu_usage"]).count() == 0
     assert outliers.flag_readings(spark.createDataFrame(series(1, [0.5] * 9), BEATS), ["cpu_usage"]).count() == 9
