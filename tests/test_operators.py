@@ -189,9 +189,10 @@ def brute_hierarchy(edges):
     return sorted((*r, reach.get((r[0], r[1]), 0)) for r in out)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 50_000), (2, 7)])
-def test_hierarchy_equals_brute_force(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,local", [(1, 50_000, 1 << 17), (2, 7, 20), (3, 11, 0)])
+def test_hierarchy_equals_brute_force(spark, monkeypatch, seed, chunk, local):
     monkeypatch.setattr(hierarchy, "CHUNK", chunk)
+    monkeypatch.setattr(hierarchy, "LOCAL", local)
     monkeypatch.setattr(hierarchy, "SIBLINGS", 5)
     rnd = random.Random(seed)
     edges = [("a", n, rnd.choice([None, 1000, rnd.randrange(60), rnd.randrange(max(1, n))])) for n in range(60)]
@@ -201,6 +202,26 @@ def test_hierarchy_equals_brute_force(spark, monkeypatch, seed, chunk):
     assert got == brute_hierarchy(edges)
 
 
+def test_intervals_contain_descendants(spark):
+    edges = [("a", n, [None, 0, 0, 1, 1, 2, 99][n]) for n in range(7)] + [("a", 20, 21), ("a", 21, 20), ("a", 22, 20)]
+    got = {r[1]: r[2:] for r in rows(hierarchy.intervals(spark.createDataFrame(edges, "tree string, node long, parent long")))}
+    inside = {n: {m for m, (r, a, b) in got.items() if r == root and enter < a and b < leave} for n, (root, enter, leave) in got.items()}
+    assert inside == {0: {1, 2, 3, 4, 5}, 1: {3, 4}, 2: {5}, 3: set(), 4: set(), 5: set(), 6: set(), 20: {22}, 21: set(), 22: set()}
+    assert got[0] == (0, 0, 11) and got[6] == (6, 0, 1)
+
+
+def test_one_parent_with_most_children(spark):
+    """An unpatched hot parent."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        edges = spark.range(0, 150_100).selectExpr("'a' AS tree", "id AS node", "IF(id = 0, NULL, IF(id < 150000, 0, id - 1)) AS parent")
+        found = hierarchy.hierarchy(edges)
+        assert rows(found.groupBy("link_state", "root_id").agg(F.count("node_id"), F.max("depth"), F.max("descendants"))) == [("rooted", 0, 150_100, 101, 150_099)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_hierarchy_of_nothing(spark):
     empty = spark.createDataFrame([], "tree string, node long, parent long")
     assert rows(hierarchy.hierarchy(empty)) == []
