@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sedimenta.operators.common import current_rows
+from sedimenta.operators.common import current_rows, staged
 from sedimenta.sources.store import qualified
 
 ZSTD_MAGIC = 0xFD2FB528
@@ -77,19 +77,113 @@ def frame_spans(data: bytes) -> list[tuple[int, int]]:
     return spans
 
 
+def join_line_pieces(files: Iterable[Iterable[bytes]], header: bytes | None = None) -> Iterator[bytes]:
+    """Pieces of one newline-delimited file from files that come in pieces themselves; see join_lines."""
+    first = True
+    for pieces in files:
+        start: bytes | None = b""
+        last = b""
+        for piece in pieces:
+            if start is not None:
+                # Enough of the beginning to tell a header line and its end.
+                start += piece
+                if header is not None and len(start) < len(header) + 2:
+                    continue
+                piece, start = _without_header(start, header, first), None
+            if piece:
+                first, last = False, piece[-1:]
+                yield piece
+        if start:
+            piece = _without_header(start, header, first)
+            if piece:
+                first, last = False, piece[-1:]
+                yield piece
+        if last and last != b"\n":
+            yield b"\n"
+
+
+def _without_header(start: bytes, header: bytes | None, first: bool) -> bytes:
+    """The beginning of a file without its header line, unless nothing was written before."""
+    if header is None or first or start[: len(header)] != header:
+        return start
+    rest = start[len(header) :]
+    return rest[1:] if rest[:1] in (b"\n", b"") else rest[2:] if rest[:2] == b"\r\n" else start
+
+
 def join_lines(parts: Iterable[bytes], header: bytes | None = None) -> Iterator[bytes]:
     """Pieces of one newline-delimited file: each part ends with a newline, a header line is kept once."""
-    first = True
-    for part in parts:
-        if header is not None and part[: len(header)] == header:
-            rest = part[len(header) :]
-            if not first and rest[:1] in (b"\n", b""):
-                part = rest[1:]
-            elif not first and rest[:2] == b"\r\n":
-                part = rest[2:]
-        first = first and not part
-        if part:
-            yield part if part.endswith(b"\n") else part + b"\n"
+    return join_line_pieces(([part] if part else [] for part in parts), header)
+
+
+class FrameWalk:
+    """Follows the frames of a file that comes in pieces by their headers, whatever its size; finish() needs complete ones."""
+
+    def __init__(self) -> None:
+        self.frames, self._at, self._have, self._skip, self._blocks, self._tail = 0, 0, b"", 0, False, 0
+
+    def feed(self, piece: bytes) -> None:
+        at = 0
+        while at < len(piece):
+            if self._skip:
+                step = min(self._skip, len(piece) - at)
+                self._skip -= step
+                at += step
+                continue
+            need = 3 if self._blocks else 8 if len(self._have) < 8 else self._header()
+            take = piece[at : at + need - len(self._have)]
+            self._have += take
+            at += len(take)
+            if len(self._have) == need:
+                self._known()
+        self._at += len(piece)
+
+    def _header(self) -> int:
+        flags = self._have[4]
+        single = flags >> 5 & 1
+        return 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+
+    def _known(self) -> None:
+        have = self._have
+        if self._blocks:
+            head = have[0] | have[1] << 8 | have[2] << 16
+            if head >> 1 & 3 == 3:
+                raise CompactionError("reserved block type")
+            self._skip = 1 if head >> 1 & 3 == 1 else head >> 3
+            if head & 1:
+                self._blocks, self.frames = False, self.frames + 1
+                self._skip += self._tail
+            self._have = b""
+            return
+        (magic,) = struct.unpack_from("<I", have)
+        if magic & 0xFFFFFFF0 == SKIPPABLE_MAGIC:
+            self._skip, self._have, self.frames = struct.unpack_from("<I", have, 4)[0], b"", self.frames + 1
+        elif magic != ZSTD_MAGIC:
+            raise CompactionError(f"not a zstandard frame near byte {self._at}")
+        elif (size := self._header()) <= len(have):
+            # A short header: what is left of the eight bytes read belongs to the first block.
+            self._blocks, self._tail, self._have = True, 4 * (have[4] >> 2 & 1), b""
+            self.feed_rest(have[size:])
+
+    def feed_rest(self, rest: bytes) -> None:
+        at, self._at = self._at, 0
+        self.feed(rest)
+        self._at = at
+
+    def finish(self) -> int:
+        """The number of frames; CompactionError if the last one is cut short."""
+        if self._have or self._skip or self._blocks:
+            raise CompactionError("truncated frame")
+        return self.frames
+
+
+def join_frame_pieces(files: Iterable[Iterable[bytes]]) -> Iterator[bytes]:
+    """Pieces of one multi-frame file from files that come in pieces: every file has to consist of complete frames."""
+    for pieces in files:
+        walk = FrameWalk()
+        for piece in pieces:
+            walk.feed(piece)
+            yield piece
+        walk.finish()
 
 
 def join_frames(parts: Iterable[bytes]) -> Iterator[bytes]:
@@ -110,26 +204,27 @@ def plan_compaction(scans: DataFrame, partitions: DataFrame, configs: DataFrame,
     """
     current = current_rows(partitions, "mp_id", ["mp_id", "table_id", "schema_id", "active", "loaded_at"]).where("active").select("mp_id", "table_id", "schema_id")
     listed = scans.select("table_id", F.explode("mp_list").alias("mp_id")).where("table_id is not null and mp_id is not null").distinct()
-    files = listed.join(current, ["table_id", "mp_id"])
+    files = staged(listed.join(current, ["table_id", "mp_id"]), "files")
 
     names = ["enabled", "merge_enabled", "merge_min_mps", "merge_target_rows"]
     newest = configs.groupBy("schema_id").agg(F.max(F.struct("updated_at", *names)).alias("c")).select("schema_id", *[F.col(f"c.{n}").alias(n) for n in names])
+    newest = staged(newest, "settings")
     default = newest.where("schema_id is null").select(*[F.col(n).alias(f"d_{n}") for n in names])
-    # One row per schema, from the distinct schemas of the files; the join is left to the planner's own size check.
-    settings = (
-        files.select("schema_id").distinct()
-        .join(newest, "schema_id", "left")
+    # One row per table and schema: the settings meet these, not the files.
+    tables = files.groupBy("table_id", "schema_id").agg(F.count(F.lit(1)).alias("own")).withColumn("files", F.sum("own").over(Window.partitionBy("table_id")))
+    able_tables = (
+        tables.join(newest.withColumnRenamed("schema_id", "of"), F.col("schema_id").eqNullSafe(F.col("of")), "left")
         .join(F.broadcast(default.limit(1)), F.lit(True), "left")
-        .select("schema_id", *[F.coalesce(n, f"d_{n}").alias(n) for n in names])
-        .where("enabled and merge_enabled and merge_min_mps is not null and merge_target_rows is not null")
+        .select("table_id", F.col("schema_id").alias("of"), "files", *[F.coalesce(n, f"d_{n}").alias(n) for n in names])
+        .where("enabled and merge_enabled and merge_min_mps is not null and merge_target_rows is not null and files >= merge_min_mps")
+        .select(F.col("table_id").alias("able_id"), "of", "merge_target_rows")
     )
-    per_table = files.groupBy("table_id").agg(F.count(F.lit(1)).alias("files"))
-    able = files.join(settings, files.schema_id.eqNullSafe(settings.schema_id)).drop("schema_id").join(per_table, "table_id").where("files >= merge_min_mps")
+    able = staged(files.join(able_tables, (files.table_id == F.col("able_id")) & files.schema_id.eqNullSafe(F.col("of"))).select("table_id", "mp_id", "merge_target_rows"), "able")
 
-    # Distinct (file, ordinal) first, so that no task sees all records of one large file.
-    stored = records.where("mp_id is not null and row_ordinal is not null").join(able.select("mp_id").distinct(), "mp_id", "left_semi")
-    counts = stored.select("mp_id", "row_ordinal").distinct().groupBy("mp_id").agg(F.count(F.lit(1)).alias("records"))
-    small = able.join(counts, "mp_id", "left").withColumn("records", F.coalesce("records", F.lit(0))).where("records * 2 < merge_target_rows")
+    # This pass reads two columns; distinct (file, ordinal) first, so that no task sees all records of one large file.
+    stored = records.select("mp_id", "row_ordinal").where("mp_id is not null and row_ordinal is not null").join(able.select("mp_id"), "mp_id", "left_semi")
+    counts = stored.distinct().groupBy("mp_id").agg(F.count(F.lit(1)).alias("records"))
+    small = staged(able.join(counts, "mp_id", "left").withColumn("records", F.coalesce("records", F.lit(0))).where("records * 2 < merge_target_rows"), "small")
     several = small.groupBy("table_id").agg(F.count(F.lit(1)).alias("small_files")).where("small_files >= 2")
     chosen = small.join(several, "table_id")
     # A table with very many small files is packed in independent slices of about PACK_FILES files.
@@ -148,14 +243,16 @@ def encode_frames(records: DataFrame, files: DataFrame) -> DataFrame:
     """(mp_id, frame_no, frame, bytes, crc, records): the stored records of the given files as zstandard frames of JSON lines.
 
     A record written more than once is stored once, as last written. A frame covers FRAME_ROWS ordinals, so a group is
-    bounded however large its file is.
+    bounded however large its file is. Records are exchanged once, by frame; finding the last written ones and putting
+    frames together both work on that.
     """
     kept = records.where("mp_id is not null and row_ordinal is not null").join(files.select("mp_id"), "mp_id", "left_semi")
     rest = [c for c in kept.columns if c not in ("mp_id", "row_ordinal", "written_at")]
-    stored = kept.groupBy("mp_id", "row_ordinal").agg(F.max(F.struct("written_at", *rest)).alias("r"))
+    by_frame = kept.withColumn("__frame", F.floor(F.col("row_ordinal") / FRAME_ROWS).cast("long")).repartition("mp_id", "__frame")
+    stored = by_frame.groupBy("mp_id", "__frame", "row_ordinal").agg(F.max(F.struct("written_at", *rest)).alias("r"))
     line = F.to_json(F.struct("mp_id", "row_ordinal", *[F.col(f"r.{c}").alias(c) for c in ["written_at", *rest]]), TIMES)
     chunks = (
-        stored.select("mp_id", F.floor(F.col("row_ordinal") / FRAME_ROWS).cast("long").alias("frame_no"), F.struct("row_ordinal", line.alias("line")).alias("l"))
+        stored.select("mp_id", F.col("__frame").alias("frame_no"), F.struct("row_ordinal", line.alias("line")).alias("l"))
         .groupBy("mp_id", "frame_no")
         .agg(F.sort_array(F.collect_list("l")).alias("ls"))
         .select("mp_id", "frame_no", F.size("ls").cast("long").alias("records"), F.concat(F.array_join(F.col("ls.line"), "\n"), F.lit("\n")).alias("body"))
@@ -231,8 +328,8 @@ def merge_frames(plan: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def compact(scans: DataFrame, partitions: DataFrame, configs: DataFrame, records: DataFrame) -> DataFrame:
-    """Plan, encode and merge; see plan_compaction and merge_frames."""
-    plan = plan_compaction(scans, partitions, configs, records)
+    """Plan, encode and merge; see plan_compaction and merge_frames. The plan is written once, as both others read it."""
+    plan = staged(plan_compaction(scans, partitions, configs, records), "plan")
     return merge_frames(plan, encode_frames(records, plan))
 
 
@@ -251,54 +348,79 @@ def decode_merged(merged: DataFrame, schema: T.StructType) -> DataFrame:
     return merged.select("data").mapInArrow(lines, "line string").select(F.from_json("line", schema, TIMES | {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def compact_files(spark: SparkSession, source: str, target: str, kind: str = "lines", target_bytes: int = 128 << 20, header: bytes | None = None, suffix: str = "") -> DataFrame:
+PIECE = 4 << 20  # bytes read at a time
+
+
+def _local_uri(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _read_pieces(path: str) -> Iterator[bytes]:
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(_local_uri(path))
+    with where.open_input_stream(name, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            yield piece
+
+
+def compact_files(spark: SparkSession, source: str, target: str, kind: str = "lines", target_bytes: int = 128 << 20, header: bytes | None = None, suffix: str = "", leave_large: bool = False) -> DataFrame:
     """Concatenate the files of a folder into files of about target_bytes: (path, parts, bytes, crc).
 
     kind is "lines" (newline-delimited, header optionally kept once per output) or "zstd" (complete frames). Listing
-    gives sizes only; each task copies the files of one bin as a stream, writes to a temporary name and renames it, so a
-    repeated task replaces its own output. An empty folder yields no rows; empty input files add nothing and are not counted.
+    gives sizes only; each task copies the files of one bin in pieces, so memory does not grow with their sizes, writes
+    to a hidden name, reads that back, compares length and checksum with what was joined, and only then renames it; a
+    repeated task replaces its own output. With leave_large, files of at least half of target_bytes and bins of one file
+    stay where they are and come with their own path and a null crc; else they are copied too, and the target folder
+    holds everything. An empty folder yields no rows; empty input files add nothing and are not counted.
     """
     if kind not in ("lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
-    folder = qualified(spark, target)
-    folder = folder.replace("file:/", "file:///", 1) if not folder.startswith("file://") and folder.startswith("file:/") else folder
+    folder = _local_uri(qualified(spark, target))
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).where(F.col("path").endswith(suffix)).select("path", "length")
+    kept = None
+    if leave_large:
+        kept = listed.where(F.col("length") * 2 >= target_bytes).select("path", F.lit(1).cast("long").alias("parts"), F.col("length").alias("bytes"), F.lit(None).cast("long").alias("crc"))
+        listed = listed.where(F.col("length") * 2 < target_bytes)
     total = listed.agg(F.sum("length")).first()[0] or 0
     slices = max(1, int(total // (target_bytes * 64)) + 1)
     salted = listed.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(slices)).cast("int"))
     before = Window.partitionBy("pack").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     bins = salted.withColumn("bin", F.floor(F.coalesce(F.sum("length").over(before), F.lit(0)) / target_bytes).cast("long"))
     groups = bins.groupBy("pack", "bin").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.sum("length").alias("length"))
+    if leave_large:
+        kept = kept.unionByName(groups.where(F.size("paths") == 1).select(F.col("paths")[0].alias("path"), F.lit(1).cast("long").alias("parts"), F.col("length").alias("bytes"), F.lit(None).cast("long").alias("crc")))
+        groups = groups.where(F.size("paths") > 1)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        import uuid
 
-        def open_in(path: str):
-            where, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-            with where.open_input_stream(name, compression=None) as stream:
-                return stream.read()
+        from pyarrow import fs
 
+        where, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                where, base = fs.FileSystem.from_uri(folder)
                 where.create_dir(base, recursive=True)
                 name = f"{base}/part-{row['pack']:05d}-{row['bin']:08d}.{'zst' if kind == 'zstd' else 'txt'}"
                 size = crc = 0
-                pieces = join_frames(map(open_in, row["paths"])) if kind == "zstd" else join_lines(map(open_in, row["paths"]), header)
-                import uuid
-
+                files = map(_read_pieces, row["paths"])
                 hidden = f"{base}/_tmp-{uuid.uuid4().hex}"
                 with where.open_output_stream(hidden, compression=None) as sink:
-                    for piece in pieces:
+                    for piece in join_frame_pieces(files) if kind == "zstd" else join_line_pieces(files, header):
                         sink.write(piece)
                         size += len(piece)
                         crc = zlib.crc32(piece, crc)
-                written = where.get_file_info(hidden).size
-                if written != size or kind == "zstd" and size != row["length"]:
-                    raise CompactionError(f"{name}: {written} bytes written, {size} joined, {row['length']} read")
+                written = again = 0
+                with where.open_input_stream(hidden, compression=None) as stream:
+                    while piece := stream.read(PIECE):
+                        written += len(piece)
+                        again = zlib.crc32(piece, again)
+                if written != size or again != crc or kind == "zstd" and size != row["length"]:
+                    raise CompactionError(f"{name}: {written} bytes written with checksum {again}, {size} with {crc} joined, {row['length']} read")
                 where.move(hidden, name)
                 rows.append((name, len(row["paths"]), size, crc))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["path", "parts", "bytes", "crc"])
 
-    return groups.mapInArrow(copy, "path string, parts long, bytes long, crc long")
+    merged = groups.mapInArrow(copy, "path string, parts long, bytes long, crc long")
+    return merged if kept is None else merged.unionByName(kept)

@@ -92,6 +92,48 @@ def test_join_lines_keeps_every_record(files, last_newline, header):
     assert joined == "".join(x + "\n" for x in wanted)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=400), max_size=5), st.integers(1, 30), st.data())
+def test_frames_are_walked_in_pieces(parts, step, data):
+    joined = b""
+    for i, p in enumerate(parts):
+        joined += zstandard.ZstdCompressor(write_checksum=i % 2 == 0, write_content_size=i % 3 > 0).compress(p)
+        joined += b"\x50\x2a\x4d\x18" + len(p).to_bytes(4, "little") + p if i % 2 else b""
+    pieces = lambda d: [d[i : i + step] for i in range(0, len(d), step)]
+    assert b"".join(c.join_frame_pieces([pieces(joined), [], pieces(joined)])) == joined * 2
+    walk = c.FrameWalk()
+    for piece in pieces(joined):
+        walk.feed(piece)
+    assert walk.finish() == len(c.frame_spans(joined))
+    if joined:
+        cut = data.draw(st.integers(1, len(joined) - 1))
+        if cut not in [b for _, b in c.frame_spans(joined)]:
+            with pytest.raises(c.CompactionError):
+                list(c.join_frame_pieces([pieces(joined[:cut])]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="h,1\nb", max_size=12), max_size=5), st.integers(1, 5), st.booleans())
+def test_lines_in_pieces_equal_whole_parts(files, step, header):
+    parts = [f.encode() for f in files]
+    top = b"h,1" if header else None
+    assert b"".join(c.join_line_pieces([[p[i : i + step] for i in range(0, len(p), step)] for p in parts], top)) == b"".join(c.join_lines(parts, top))
+
+
+def test_large_files_can_stay(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, n in enumerate([5, 900, 7, 9]):
+        (source / f"{i}.txt").write_text("x\n" * n)
+    out = rows(c.compact_files(spark, f"file://{source}", f"file://{tmp_path}/out", "lines", 1000, leave_large=True))
+    assert [(r[1], r[2], r[3] is None) for r in out] in ([(3, 42, False), (1, 1800, True)], [(1, 1800, True), (3, 42, False)]) and os.listdir(tmp_path / "out")
+
+
+def test_plan_is_small(spark):
+    plan = c.compact(*small_case(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 12
+
+
 def test_folder_of_files(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()
