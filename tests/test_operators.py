@@ -239,6 +239,18 @@ def test_bloom_has_no_false_negatives(spark):
     assert asked.where("k >= 3000 AND _maybe").count() < 6000 * 0.05
 
 
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_bloom_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(orphans, "BLOCK_KEYS", 100)
+    monkeypatch.setattr(orphans, "MOST_BLOOM_BYTES", most)
+    keys = spark.range(0, 3000).select(F.concat(F.lit("k"), "id").alias("k"))
+    bloom = orphans.build_bloom(keys.unionByName(keys.limit(10)).unionByName(spark.createDataFrame([(None,)], "k string")), "k")
+    assert bloom.blocks > 20 and len(bloom.paths) == bloom.blocks
+    asked = orphans.split_by_bloom(spark.range(0, 9000).select(F.concat(F.lit("k"), "id").alias("k"), "id"), "k", bloom)
+    assert asked.where("id < 3000 AND NOT _maybe").count() == 0
+    assert asked.where("id >= 3000 AND _maybe").count() < 6000 * 0.05
+
+
 @pytest.mark.parametrize("most", [1 << 26, 0])
 def test_orphans(spark, monkeypatch, most):
     monkeypatch.setattr(orphans, "MOST_BLOOM_BYTES", most)
