@@ -75,20 +75,26 @@ def collect_garbage(spark: SparkSession, store: Store, catalog: Catalog, cutoff:
     """Delete files that no table shows any more and that left every table before cutoff (microseconds).
 
     Files that no commit ever named, left behind by failed statements, and old results of consumed streams go too.
-    Clones share files, so a file stays while any table's newest snapshot has it. Payloads of changes after a stream's
-    offset stay too; offsets has the least offset per table id. Dropped tables count as empty from when they were
-    dropped. The number of deleted data files is returned.
+    Clones share files, so a file stays while any table's newest snapshot has it, and while a registered backup names
+    it. Payloads of changes after a stream's offset stay too; offsets has the least offset per table id. Dropped tables
+    count as empty from when they were dropped. The number of deleted data files is returned. Each table's log is read
+    from the version up to which everything that had left it was gone already.
     """
     dropped = {d["id"]: d["at"] for d in catalog.state()["dropped"]}
     ids = {e["id"] for _, e in catalog.objects("tables")} | set(dropped)
-    keep: set[str] = set()
+    backups = [path for path in catalog.state().get("backups", {}) if store.exists(path)]
+    keep = {f["path"] for path in backups for t in store.read(path)["tables"].values() for f in t["snapshot"]["files"].values()}
     gone: dict[str, int] = {}
+    left: dict[str, list[tuple[int, list[str]]]] = {}  # per table and version, what left it then
     for table_id in sorted(ids):
         table = VersionedTable(spark, store, table_id)
-        paths: dict[str, str] = {}
+        start = table.at_version(settled(store, table_id))
+        paths = {m: f["path"] for m, f in start.files.items()}
         removed: dict[str, int] = {}
-        for entry in table.entries():
+        left[table_id] = []
+        for entry in table.entries(start.version):
             paths |= {f["mp_id"]: f["path"] for f in entry["add"]}
+            left[table_id].append((entry["version"], [*(paths[m] for m in entry["remove"]), *(c["path"] for c in entry["changes"] if not c["data"])]))
             removed |= {m: entry["commit_ts"] for m in entry["remove"]}
             for c in entry["changes"]:
                 if table_id in offsets and c["seq_end"] > offsets[table_id]:
@@ -106,14 +112,27 @@ def collect_garbage(spark: SparkSession, store: Store, catalog: Catalog, cutoff:
     doomed = [p for p in gone if p not in keep and store.exists(p)]
     for path in doomed:
         store.delete(path)
+    for table_id, versions in left.items():
+        through = settled(store, table_id)
+        for version, paths_left in versions:
+            if any(p not in gone or p in keep for p in paths_left):
+                break
+            through = version
+        if through > settled(store, table_id):
+            store.create(f"tables/{table_id}/_settled/{through:020d}.json", {})
     named = {p.rsplit("/", 1)[0].rsplit("/", 1)[1] for p in keep | set(gone)}
     for folder in [*(f"tables/{i}/{area}" for i in sorted(ids) for area in ("data", "cdc")), "results"]:
-        for left in store.untouched(folder, cutoff // 1000 - GRACE_MILLIS):
-            if left.rsplit("/", 1)[1] not in named:
-                store.delete(left)
+        for old in store.untouched(folder, cutoff // 1000 - GRACE_MILLIS):
+            if old.rsplit("/", 1)[1] not in named:
+                store.delete(old)
     return sum("/cdc/" not in path for path in doomed)
 
 
+def settled(store: Store, table_id: str) -> int:
+    """The version up to which all files that had left the table are deleted."""
+    return store.latest(f"tables/{table_id}/_settled")
+
+
 def backup(catalog: Catalog, tables: dict[str, tuple[VersionedTable, Snapshot]], since: dict[str, int] | None = None) -> dict[str, Any]:
     """A manifest of the tables' snapshots; with `since` (versions per table name) only tables that moved past them."""
     taken = {n: (t, s) for n, (t, s) in tables.items() if since is None or s.version > since.get(n, 0)}

@@ -38,7 +38,7 @@ class Offset:
 
 def records(table: VersionedTable, after: int, through: int | None = None) -> list[dict]:
     """Change records with a sequence in (after, through], in order."""
-    found = [c | {"txn_id": e["txn_id"], "commit_ts": e["commit_ts"]} for e in table.entries() for c in e["changes"]]
+    found = [c | {"txn_id": e["txn_id"], "commit_ts": e["commit_ts"]} for e in table.entries_after_sequence(after) for c in e["changes"]]
     return [c for c in found if c["seq_end"] > after and (through is None or c["seq_start"] <= through)]
 
 

@@ -293,3 +293,69 @@ def test_cache_and_prepared(session, engine):
         session.sql("CREATE NONSENSE")
     with pytest.raises(AnalysisError):
         session.sql("SELEC 1 FROM")
+
+
+def test_backups_survive_collection(session):
+    session.sql("CREATE TABLE t (id INT); INSERT INTO t VALUES (1), (2); BACKUP TO 'b.json'; DELETE FROM t; GC 0; DROP TABLE t; GC 0")
+    assert [r[0] for r in rows(session.sql("SHOW BACKUPS"))] == ["b.json"]
+    assert rows(session.sql("RESTORE FROM 'b.json'").select("tables_restored", "files_missing")) == [(1, [])]
+    assert rows(session.sql("SELECT * FROM t")) == [(1,), (2,)]
+    session.sql("DELETE FROM t; DROP BACKUP 'b.json'; DROP BACKUP IF EXISTS 'b.json'")
+    assert "deleted 0" not in session.sql("GC 0").first()[0] and rows(session.sql("SHOW BACKUPS")) == []
+    with pytest.raises(AnalysisError):
+        session.sql("DROP BACKUP 'b.json'")
+
+
+def test_collection_starts_where_all_is_gone(session):
+    session.sql("CREATE TABLE t (id INT)")
+    table = session._table(("t",), "SELECT")[1]
+    for i in range(4):
+        session.sql(f"INSERT INTO t VALUES ({i}); DELETE FROM t WHERE id = {i}")
+    session.sql("CREATE STREAM s ON TABLE t; INSERT INTO t VALUES (9); DELETE FROM t; GC 0")
+    settled = table.store.latest(f"{table.folder}/_settled")
+    assert settled == table.head().version - 1  # the stream still needs the last change
+    session.sql("SELECT * FROM s; GC 0")
+    assert table.store.latest(f"{table.folder}/_settled") == table.head().version
+    session.sql("INSERT INTO t VALUES (10); GC 0")
+    assert rows(session.sql("SELECT * FROM t")) == [(10,)]
+
+
+def test_history_is_read_from_the_nearest_checkpoint(session, monkeypatch):
+    from sedimenta.sources import table as tables
+
+    monkeypatch.setattr(tables, "CHECKPOINT_EVERY", 5)
+    session.sql("CREATE TABLE t (id INT); CREATE STREAM s ON TABLE t")
+    table = session._table(("t",), "SELECT")[1]
+    times = []
+    for i in range(22):
+        session.sql(f"INSERT INTO t VALUES ({i})")
+        times.append(table.head().commit_ts)
+    read = []
+    monkeypatch.setattr(VersionedTable, "_entry", lambda self, v, entry=VersionedTable._entry: (read.append(v), entry(self, v))[1])
+    assert len(table.at_version(18).files) == 17 and sorted(read) == [16, 17, 18]
+    read.clear()
+    assert [len(table.as_of(t).files) for t in (0, times[0], times[12], times[12] + 0, times[21] + 9)] == [0, 1, 13, 13, 22]
+    assert len(set(read)) < 20
+    read.clear()
+    assert [c["seq_start"] for c in cdc.records(table, 19)] == [20, 21, 22] and len(read) < 9
+    assert VersionedTable(session.spark, table.store, table.table_id).head().version == 23
+
+
+def test_tasks_run_when_due_and_after_each_other(session, engine):
+    session.sql("CREATE TABLE log (what VARCHAR); CREATE TABLE src (id INT); CREATE STREAM s ON TABLE src")
+    session.sql("CREATE TASK first SCHEDULE = '5 minutes' AS INSERT INTO log VALUES ('first')")
+    session.sql("CREATE TASK second AFTER first AS INSERT INTO log VALUES ('second')")
+    session.sql("CREATE TASK third AFTER second WHEN SYSTEM$STREAM_HAS_DATA('s') AS INSERT INTO log SELECT 'third' FROM s")
+    assert engine.tick(0) == []
+    session.sql("ALTER TASK first RESUME; ALTER TASK second RESUME; ALTER TASK third RESUME")
+    assert engine.tick(10**9) == ["main.public.first", "main.public.second"]
+    session.sql("INSERT INTO src VALUES (1)")
+    assert engine.tick(10**9 + 1) == []
+    assert engine.tick(2 * 10**9) == [f"main.public.{t}" for t in ("first", "second", "third")]
+    assert rows(session.sql("SELECT what, count(*) FROM log GROUP BY what")) == [("first", 2), ("second", 2), ("third", 1)]
+    assert [(r["name"], r["status"]) for r in session.sql("SHOW TASKS").collect()] == [(n, "Success") for n in ("first", "second", "third")]
+    session.sql("ALTER TASK first SUSPEND; DROP TASK third; DROP TASK IF EXISTS third; CREATE OR REPLACE TASK second SCHEDULE = '1 minute' AS SELECT * FROM nothing; ALTER TASK second RESUME")
+    assert engine.tick(9 * 10**9) == [] and session.sql("SHOW TASKS").where("name = 'second'").first()["status"].startswith("Failed")
+    for bad in ("CREATE TASK x AS SELECT 1", "CREATE TASK x AFTER nothing AS SELECT 1", "DROP TASK third"):
+        with pytest.raises(AnalysisError):
+            session.sql(bad)
