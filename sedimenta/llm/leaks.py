@@ -1,8 +1,9 @@
 """Evaluation passages in training text: latent semantic retrieval, then common-subsequence checks.
 
 Texts become sequences of word codes in which scan damage is folded away. A randomised SVD of the TF-IDF matrix of all
-passages gives a latent space; passages near a passage of a test item there are candidates, the rare words of the item
-(its answers: names and figures) screen them, and a longest common subsequence of the words decides.
+passages over all of their words gives a latent space; passages near a passage of a test item there are candidates, the
+rare words of the item (its answers: names and figures) screen them, and a longest common subsequence of the words
+decides. Items are a query set: they are taken in blocks of a bounded number of words, each against all pages.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sedimenta.llm.worker import kept
 from sedimenta.operators.common import staged
@@ -22,11 +25,13 @@ from sedimenta.operators.common import staged
 PASSAGE = 48  # words of a passage
 STRIDE = 12  # words between the starts of an item's passages
 HASHES = 1 << 18  # word codes are counted modulo this
-MOST_FEATURES = 4096  # of the commonest hashed words
-LEAST_SHARE = 0.001  # of passages that hold a feature; rarer words are left to the screen
-SKETCH_ROWS = 512  # rows of the sketched matrix
+FEATURES = 1 << 15  # columns of the matrix; every word has one, by hash, with a sign
+SKETCH_ROWS = 256  # rows of the sketched matrix
+SKETCH_BLOCKS = 16  # blocks of columns in which partial matrices are added up
+ITEM_WORDS = 4 << 20  # words of the items that are searched at a time
+PAGES = 2_000  # pages aimed at in one task of the search
 LATENT = 128  # dimensions kept
-NEAR = 0.35  # least cosine of a candidate; half of a passage may be another column's
+NEAR = 0.45  # least cosine of a candidate; half of a passage may be another column's
 RARE_SHARE = 0.004  # words in fewer passages are an item's rare words
 RARE_HELD = 0.2  # share of them that a page has to hold
 LEAST_HALF = 0.5  # share of the item's words
@@ -37,7 +42,6 @@ PART_GAP = 90  # words of the page from a passage to one that goes on from it
 SAME_STRETCH = 1.5  # most times that the stretch of one is that of the other
 ITEM_GAP = 4  # damaged words inside a passage
 DOC_GAP = 45  # words of other columns and adverts inside a passage
-SLOTS = 64  # partial matrices that one task adds up
 
 # Characters that scans confuse, and the one that stands for each group.
 CONFUSED = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "i": "l", "j": "l", "c": "e", "o": "e", "a": "e", "u": "n", "v": "n", "f": "s", "h": "b", "t": "l", "r": "n"}
@@ -48,8 +52,8 @@ _FOLD = str.maketrans(CONFUSED)
 
 
 def fold(word: str) -> str:
-    """A word's shape: confusable letters made equal, double strokes joined, long words cut."""
-    return word.translate(_FOLD).replace("nn", "m").replace("ll", "n")[:9]
+    """A word's shape: confusable letters made equal, double strokes joined."""
+    return word.translate(_FOLD).replace("nn", "m").replace("ll", "n")
 
 
 class Coder:
@@ -135,32 +139,32 @@ def passage_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
     return counts, int(found.loc[found["hashed"] < 0, "n"].sum())
 
 
+def feature_columns() -> tuple[np.ndarray, np.ndarray]:
+    """(column, sign) of every hashed word: no word is left out, and words that share a column do not add up."""
+    mixed = (np.arange(HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return (mixed % np.uint64(FEATURES)).astype(np.int32), np.where(mixed >> np.uint64(30) & np.uint64(1) == 1, 1, -1).astype(np.float32)
+
+
 class Weights:
-    """TF-IDF weights of the features: hashed words in at least LEAST_SHARE of all passages, the MOST_FEATURES commonest."""
+    """TF-IDF weights of all hashed words; words that no passage holds have the greatest one."""
 
     def __init__(self, counts: np.ndarray, passages: int):
-        common = np.flatnonzero(counts >= max(2, passages * LEAST_SHARE))
-        common = np.sort(common[np.argsort(-counts[common], kind="stable")][:MOST_FEATURES])
-        self.size = len(common)
-        self.column = np.full(HASHES, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.idf = np.log((1 + passages) / (1 + counts[common])).astype(np.float32)
+        self.idf = np.log((1 + passages) / (1 + counts)).astype(np.float32)
+        self.column, self.sign = feature_columns()
 
     @classmethod
-    def of(cls, column: np.ndarray, idf: np.ndarray) -> Weights:
-        """Weights from their plain arrays, as they travel to workers."""
+    def of(cls, idf: np.ndarray) -> Weights:
+        """Weights from their plain array, as they travel to workers."""
         made = cls.__new__(cls)
-        made.column, made.idf, made.size = column, idf, len(idf)
+        made.idf = idf
+        made.column, made.sign = kept("leak_columns", feature_columns)
         return made
 
     def rows(self, passage: np.ndarray, hashed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, column, value) of unit-length rows."""
-        column = self.column[hashed]
-        keep = column >= 0
-        passage, column = passage[keep], column[keep]
-        value = self.idf[column]
+        value = self.idf[hashed]
         norm = np.sqrt(np.bincount(passage, value * value, minlength=count)).astype(np.float32)
-        return passage, column, value / norm[passage]
+        return passage, self.column[hashed], value * self.sign[hashed] / np.maximum(norm, 1e-9)[passage]
 
 
 def project(passage: np.ndarray, column: np.ndarray, value: np.ndarray, count: int, basis: np.ndarray) -> np.ndarray:
@@ -178,49 +182,45 @@ def project(passage: np.ndarray, column: np.ndarray, value: np.ndarray, count: i
 def latent_basis(documents: DataFrame, weights: Weights, seed: int = 11) -> np.ndarray:
     """Right singular vectors (features x LATENT) of the TF-IDF matrix of all passages, by one randomised pass.
 
-    Every passage is added with a random sign to one random row of a SKETCH_ROWS x features matrix (a sparse subspace
-    embedding); singular vectors of that sum approximate those of the whole matrix. Partial sums are added in groups of
-    SLOTS, so neither a task nor the driver gets more than a bounded number of bytes.
+    Every passage is added with a random sign to one random row of a SKETCH_ROWS x FEATURES matrix (a sparse subspace
+    embedding); singular vectors of that sum approximate those of the whole matrix. A task puts out the cells that are
+    not zero, at most the matrix; they are added up block by block as they stream in, so that neither a task nor the
+    driver, which gets the one matrix, ever holds more than its size, whatever the number of passages.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((weights.column, weights.idf))
-    blocks = 16
-    height = SKETCH_ROWS // blocks
-    size = weights.size
-    if not size:
-        return np.zeros((0, LATENT), np.float32)
+    shared = documents.sparkSession.sparkContext.broadcast(weights.idf)
+    width = FEATURES // SKETCH_BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        weights = Weights.of(*shared.value)
-        task = TaskContext.get().partitionId()
-        dice = np.random.default_rng([seed, task])
-        total = np.zeros((SKETCH_ROWS, size), np.float32)
+        weights = Weights.of(shared.value)
+        dice = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        total = np.zeros((SKETCH_ROWS, FEATURES), np.float32)
+        flat = total.reshape(-1)
         for batch in batches:
             if batch.num_rows:
                 owners, passage, hashed = passages_of(*_lists(batch, "codes"))
                 passage, column, value = weights.rows(passage, hashed, len(owners))
                 row = dice.integers(0, SKETCH_ROWS, len(owners))
                 sign = dice.choice(np.array([-1, 1], np.float32), len(owners))
-                np.add.at(total, (row[passage], column), value * sign[passage])
-        parts = [total[b * height : (b + 1) * height].tobytes() for b in range(blocks)]
-        yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int32()), pa.array(parts, pa.binary())], names=["block", "task", "part"])
+                np.add.at(flat, row[passage] * FEATURES + column, value * sign[passage])
+        for b in range(SKETCH_BLOCKS):
+            part = total[:, b * width : (b + 1) * width].reshape(-1)
+            cells = np.flatnonzero(part).astype(np.int32)
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([cells.tobytes()], pa.binary()), pa.array([part[cells].tobytes()], pa.binary())], names=["block", "cells", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total = np.zeros(height * size, np.float32)
-                for part in parts.values:
-                    total += np.frombuffer(part.as_buffer(), np.float32)
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "part"])
-
-    partial = documents.select("codes").mapInArrow(run, "block int, task int, part binary")
-    if documents.rdd.getNumPartitions() > SLOTS:
-        partial = partial.groupBy("block", F.floor(F.col("task") / SLOTS)).agg(F.collect_list("part").alias("parts")).select("block", "parts").mapInArrow(add, "block int, part binary")
-    summed = partial.groupBy("block").agg(F.collect_list("part").alias("parts")).mapInArrow(add, "block int, part binary").collect()
-    sketch = np.zeros((SKETCH_ROWS, size), np.float32)
+            for block, cells, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                total = totals.setdefault(block, np.zeros(SKETCH_ROWS * width, np.float32))
+                total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(part.as_buffer(), np.float32)
+        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["block", "part"])
+
+    summed = documents.select("codes").mapInArrow(run, "block int, cells binary, part binary").repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, part binary").collect()
+    sketch = np.zeros((SKETCH_ROWS, FEATURES), np.float32)
     for block, part in summed:
-        sketch[block * height : (block + 1) * height] = np.frombuffer(part, np.float32).reshape(height, size)
+        sketch[:, block * width : (block + 1) * width] = np.frombuffer(part, np.float32).reshape(SKETCH_ROWS, width)
     # Eigenvectors of the small Gram matrix give the right singular vectors.
     values, vectors = np.linalg.eigh(sketch @ sketch.T)
     top = np.argsort(-values)[:LATENT]
@@ -343,59 +343,88 @@ def answers_held(offsets: np.ndarray, codes: np.ndarray, pages: np.ndarray, rare
     return np.bincount(of_row * len(rare) + item[at], minlength=len(pages) * len(rare)).reshape(len(pages), len(rare))
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """(item_id, codes) of the items that have words, in blocks of about ITEM_WORDS words; one block is held at a time."""
+    known = staged(coded(items.select("item_id", "text").distinct(), "item_id"), "items")
+    words = known.agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks = -(-words // ITEM_WORDS)
+    for b in range(blocks):
+        some = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else known
+        yield [(r[0], np.array(r[1], np.int32)) for r in some.collect()]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): pages that hold at least LEAST_HALF of an item's words; see held_share.
 
-    Items are a stated set of queries, read to the driver; every page is compared with all of them in blocks. Items
-    without words leak nowhere, pages without words hold nothing, and repeated rows of a page give one row.
+    Items are a stated set of queries; every page is compared with all of them in blocks. Items without words leak
+    nowhere, pages without words hold nothing, and repeated rows of a page give one row.
     """
     spark = documents.sparkSession
-    coder = Coder()
-    texts = [(r[0], coder(r[1])) for r in items.select("item_id", "text").distinct().collect()]
-    texts = [(i, codes) for i, codes in texts if len(codes)]
-    key_type = dict(documents.dtypes)["doc_id"]
-    of_long = dict(items.dtypes)["item_id"] == "bigint"
-    schema = f"doc_id {key_type}, item_id {dict(items.dtypes)['item_id']}, share double"
-    if not texts:
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, share double"
+    blocks = item_blocks(items)
+    first = next(blocks, None)
+    if first is None:
         return spark.createDataFrame([], schema)
     pages = staged(coded(documents, "doc_id"), "codes")
     counts, passages = passage_counts(pages)
     weights = Weights(counts, passages)
     basis = latent_basis(pages, weights)
-
+    # Words take little room but much work: more, smaller tasks than the files would give.
+    spread = pages.repartition(max(spark.sparkContext.defaultParallelism, pages.count() // PAGES + 1))
+    found = search(spread, first, weights, basis, counts, passages, schema)
+    for block in blocks:
+        found = found.unionByName(search(spread, block, weights, basis, counts, passages, schema))
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def candidates(offsets: np.ndarray, codes: np.ndarray, weights: Weights, basis: np.ndarray, queries: np.ndarray, of_query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pages, near) for some pages at a time: whether a passage of the page is near one of each item's."""
+    firsts = np.flatnonzero(np.r_[True, of_query[1:] != of_query[:-1]])
+    owners, passage, hashed = passages_of(offsets, codes)
+    latent = project(*weights.rows(passage, hashed, len(owners)), len(owners), basis)
+    page_starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    for a in range(0, len(page_starts), 256):
+        some = page_starts[a : a + 256]
+        hi = page_starts[a + 256] if a + 256 < len(page_starts) else len(owners)
+        near = np.maximum.reduceat(np.maximum.reduceat(latent[some[0] : hi] @ queries.T, some - some[0], axis=0), firsts, axis=1)
+        yield owners[some], near >= NEAR
+
+
+def item_passages(texts: list[tuple], weights: Weights, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(latent vectors of the items' passages, number of the item of each)."""
     starts = [(n, codes[a : a + PASSAGE]) for n, (_, codes) in enumerate(texts) for a in range(0, max(1, len(codes) - PASSAGE + STRIDE), STRIDE)]
-    of_query = np.array([n for n, _ in starts])
     words = [np.unique(c.astype(np.int64) % HASHES) for _, c in starts]
-    queries = project(*weights.rows(np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words), len(words)), len(words), basis)
-    order = np.argsort(of_query, kind="stable")
+    return project(*weights.rows(np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words), len(words)), len(words), basis), np.array([n for n, _ in starts])
+
+
+def screened(offsets: np.ndarray, codes: np.ndarray, pages: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
+    """pages x items: whether a page has enough of the item's rare words."""
+    needed = np.array([max(2, RARE_HELD * len(r)) if len(r) >= 4 else 0 for r in rare])
+    return answers_held(offsets, codes, pages, rare) >= needed
+
+
+def search(pages: DataFrame, texts: list[tuple], weights: Weights, basis: np.ndarray, counts: np.ndarray, passages: int, schema: str) -> DataFrame:
+    """Leaks of one block of items in all pages."""
+    queries, of_query = item_passages(texts, weights, basis)
     rare = [rare_words(codes, counts, passages) for _, codes in texts]
-    shared = spark.sparkContext.broadcast((weights.column, weights.idf, basis, queries[order], of_query[order], texts, rare))
+    shared = pages.sparkSession.sparkContext.broadcast((weights.idf, basis, queries, of_query, texts, rare))
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, idf, basis, queries, of_query, texts, rare = shared.value
-        weights = Weights.of(column, idf)
-        firsts = np.flatnonzero(np.r_[True, of_query[1:] != of_query[:-1]])
-        needed = np.array([max(2, RARE_HELD * len(r)) if len(r) >= 4 else 0 for r in rare])
+        idf, basis, queries, of_query, texts, rare = shared.value
+        weights = Weights.of(idf)
         for batch in batches:
             out = []
             if batch.num_rows:
                 offsets, codes = _lists(batch, "codes")
-                owners, passage, hashed = passages_of(offsets, codes)
-                latent = project(*weights.rows(passage, hashed, len(owners)), len(owners), basis)
-                page_starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
                 ids = batch.column(0).to_pylist()
-                for a in range(0, len(page_starts), 256):
-                    some = page_starts[a : a + 256]
-                    hi = page_starts[a + 256] if a + 256 < len(page_starts) else len(owners)
-                    near = np.maximum.reduceat(np.maximum.reduceat(latent[some[0] : hi] @ queries.T, some - some[0], axis=0), firsts, axis=1)
-                    pages = owners[some]
-                    for p, q in zip(*np.nonzero((near >= NEAR) & (answers_held(offsets, codes, pages, rare) >= needed))):
-                        page = int(pages[p])
-                        own = codes[offsets[page] : offsets[page + 1]]
-                        share = held_share(own, texts[q][1], rare[q])
+                for some, near in candidates(offsets, codes, weights, basis, queries, of_query):
+                    for p, q in zip(*np.nonzero(near & screened(offsets, codes, some, rare))):
+                        page = int(some[p])
+                        share = held_share(codes[offsets[page] : offsets[page + 1]], texts[q][1], rare[q])
                         if share >= LEAST_HALF:
                             out.append((ids[page], texts[q][0], share))
             columns = list(zip(*out)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64() if of_long else pa.string()), pa.array(columns[2], pa.float64())], names=["doc_id", "item_id", "share"])
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-    return pages.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    return pages.mapInArrow(run, schema)

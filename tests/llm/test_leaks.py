@@ -117,3 +117,45 @@ def test_passage_without_answers_goes_on_or_is_a_phrase():
     rest = np.concatenate([np.r_[item[i : i + 8], np.arange(9500 + i, 9508 + i)] for i in range(40, 56, 8)])
     assert leaks.held_share(np.r_[start, rest], item, rare) > 0.5
     assert leaks.held_share(np.r_[start, np.full(200, 9999), rest], item, rare) < 0.5
+
+
+def test_items_in_blocks(spark, corpus, monkeypatch):
+    items, pages, truth = corpus
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 300)
+    documents = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
+    asked = spark.createDataFrame([(f"i{i}", t) for i, t in items.items()], "item_id string, text string")
+    assert len(list(leaks.item_blocks(asked))) > 3
+    assert {(r[0], int(r[1][1:])) for r in leaks.find_leaks(documents, asked).collect()} == truth
+
+
+def test_no_word_is_cut_or_left_out():
+    assert leaks.fold("constantinople") != leaks.fold("constantinian")
+    counts = np.zeros(leaks.HASHES, np.int64)
+    counts[5] = 100
+    weights = leaks.Weights(counts, 100)
+    passage, column, value = weights.rows(np.array([0, 0, 1]), np.array([5, 9, 77]), 2)
+    assert len(column) == 3 and (abs(value[1:]) > 0).all() and np.isclose(value[2] ** 2, 1)
+    columns, signs = leaks.feature_columns()
+    assert columns.min() == 0 and columns.max() == leaks.FEATURES - 1 and abs(signs.mean()) < 0.01
+
+
+def test_each_stage_keeps_all_that_an_exhaustive_search_finds(spark, corpus):
+    items, pages, truth = corpus
+    documents = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
+    coded = leaks.coded(documents, "doc_id").cache()
+    counts, passages = leaks.passage_counts(coded)
+    weights = leaks.Weights(counts, passages)
+    basis = leaks.latent_basis(coded, weights)
+    coder = leaks.Coder()
+    texts = [(i, coder(t)) for i, t in items.items()]
+    queries, of_query = leaks.item_passages(texts, weights, basis)
+    rare = [leaks.rare_words(c, counts, passages) for _, c in texts]
+    codes = [coder(t) for t in pages.values()]
+    offsets = np.r_[0, np.cumsum([len(c) for c in codes])]
+    near, held = set(), set()
+    for some, hit in leaks.candidates(offsets, np.concatenate(codes), weights, basis, queries, of_query):
+        near |= {(int(some[p]), texts[q][0]) for p, q in zip(*np.nonzero(hit))}
+    enough = leaks.screened(offsets, np.concatenate(codes), np.arange(len(codes)), rare)
+    held = {(int(p), texts[q][0]) for p, q in zip(*np.nonzero(enough))}
+    assert truth <= near and truth <= held and len(near & held) < len(pages) * len(items) / 4
+    coded.unpersist()
