@@ -171,10 +171,10 @@ def project(passage: np.ndarray, column: np.ndarray, value: np.ndarray, count: i
     """Unit rows times the basis, made unit again."""
     out = np.zeros((count, basis.shape[1]), np.float32)
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, int)
-    for a in range(0, len(starts), 512):
-        some = starts[a : a + 512]
-        lo, hi = some[0], starts[a + 512] if a + 512 < len(starts) else len(passage)
-        out[passage[some]] = np.add.reduceat(basis[column[lo:hi]] * value[lo:hi, None], some - lo)
+    ends = np.r_[starts[1:], len(passage)]
+    # One small product per passage: its few rows of the basis stay in the processor's cache.
+    for at, a, b in zip(passage[starts].tolist(), starts.tolist(), ends.tolist()):
+        np.dot(value[a:b], basis.take(column[a:b], axis=0), out=out[at])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norm, 1e-9)
 
