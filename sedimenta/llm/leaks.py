@@ -30,6 +30,7 @@ SKETCH_ROWS = 256  # rows of the sketched matrix
 SKETCH_BLOCKS = 16  # blocks of columns in which partial matrices are added up
 ITEM_WORDS = 4 << 20  # words of the items that are searched at a time
 PAGES = 2_000  # pages aimed at in one task of the search
+BATCH = 200  # pages that a task works on at a time
 LATENT = 128  # dimensions kept
 NEAR = 0.45  # least cosine of a candidate; half of a passage may be another column's
 RARE_SHARE = 0.004  # words in fewer passages are an item's rare words
@@ -118,16 +119,22 @@ def _lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.asarray(lists.values)[offsets[0] : offsets[-1]]
 
 
+def some_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of BATCH pages, whose arrays stay in the processor's cache; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def passage_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
     """Number of passages that hold each hashed word, and of all passages, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, passages = np.zeros(HASHES, np.int64), 0
-        for batch in batches:
-            if batch.num_rows:
-                owners, _, hashed = passages_of(*_lists(batch, "codes"))
-                counts += np.bincount(hashed, minlength=HASHES)
-                passages += len(owners)
+        for batch in some_pages(batches):
+            owners, _, hashed = passages_of(*_lists(batch, "codes"))
+            np.add.at(counts, hashed, 1)
+            passages += len(owners)
         there = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(np.r_[there, -1]), pa.array(np.r_[counts[there], passages])], names=["hashed", "n"])
 
@@ -197,13 +204,12 @@ def latent_basis(documents: DataFrame, weights: Weights, seed: int = 11) -> np.n
         dice = np.random.default_rng([seed, TaskContext.get().partitionId()])
         total = np.zeros((SKETCH_ROWS, FEATURES), np.float32)
         flat = total.reshape(-1)
-        for batch in batches:
-            if batch.num_rows:
-                owners, passage, hashed = passages_of(*_lists(batch, "codes"))
-                passage, column, value = weights.rows(passage, hashed, len(owners))
-                row = dice.integers(0, SKETCH_ROWS, len(owners))
-                sign = dice.choice(np.array([-1, 1], np.float32), len(owners))
-                np.add.at(flat, row[passage] * FEATURES + column, value * sign[passage])
+        for batch in some_pages(batches):
+            owners, passage, hashed = passages_of(*_lists(batch, "codes"))
+            passage, column, value = weights.rows(passage, hashed, len(owners))
+            row = dice.integers(0, SKETCH_ROWS, len(owners))
+            sign = dice.choice(np.array([-1, 1], np.float32), len(owners))
+            np.add.at(flat, row[passage] * FEATURES + column, value * sign[passage])
         for b in range(SKETCH_BLOCKS):
             part = total[:, b * width : (b + 1) * width].reshape(-1)
             cells = np.flatnonzero(part).astype(np.int32)
@@ -413,17 +419,16 @@ def search(pages: DataFrame, texts: list[tuple], weights: Weights, basis: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis, queries, of_query, texts, rare = shared.value
         weights = Weights.of(idf)
-        for batch in batches:
+        for batch in some_pages(batches):
             out = []
-            if batch.num_rows:
-                offsets, codes = _lists(batch, "codes")
-                ids = batch.column(0).to_pylist()
-                for some, near in candidates(offsets, codes, weights, basis, queries, of_query):
-                    for p, q in zip(*np.nonzero(near & screened(offsets, codes, some, rare))):
-                        page = int(some[p])
-                        share = held_share(codes[offsets[page] : offsets[page + 1]], texts[q][1], rare[q])
-                        if share >= LEAST_HALF:
-                            out.append((ids[page], texts[q][0], share))
+            offsets, codes = _lists(batch, "codes")
+            ids = batch.column(0).to_pylist()
+            for some, near in candidates(offsets, codes, weights, basis, queries, of_query):
+                for p, q in zip(*np.nonzero(near & screened(offsets, codes, some, rare))):
+                    page = int(some[p])
+                    share = held_share(codes[offsets[page] : offsets[page + 1]], texts[q][1], rare[q])
+                    if share >= LEAST_HALF:
+                        out.append((ids[page], texts[q][0], share))
             columns = list(zip(*out)) if out else [(), (), ()]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
