@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from sedimenta.errors import AnalysisError
 from sedimenta.operators.common import staged
 from sedimenta.plans.prune import prune
-from sedimenta.plans.relations import condition
-from sedimenta.sources.table import ROW_ID, Snapshot, VersionedTable
+from sedimenta.plans.relations import condition, equal_columns
+from sedimenta.sources.table import ROW_ID, Snapshot, VersionedTable, plain_statistic
 
 FILE = "__file"
 
@@ -141,6 +141,32 @@ class Clause:
     assignments: dict[str, str] | None = None
 
 
+def mergeable(table: VersionedTable, snapshot: Snapshot, source: DataFrame, on: str, target_alias: str, source_alias: str) -> list[dict]:
+    """Files whose zone maps let them hold a row that `on` matches with a source row, by the ranges of the source's keys."""
+    known = {c.name: c for c in snapshot.columns}
+    pairs = []
+    for one, other in equal_columns(table.spark, on):
+        for t, s in ((one, other), (other, one)):
+            # Times are left out: how they print depends on the session.
+            if t[0] == target_alias and s[0] == source_alias and t[-1] in known and s[-1] in source.columns and not isinstance(known[t[-1]].spark_type, (T.TimestampType, T.TimestampNTZType)):
+                pairs.append((t[-1], s[-1]))
+    files = list(snapshot.files.values())
+    if not pairs or not files:
+        return files
+    bounds = source.agg(*[f(F.col(f"`{s}`").cast(known[t].spark_type)) for t, s in pairs for f in (F.min, F.max)]).first()
+    test: tuple | None = None
+    for i, (t, _) in enumerate(pairs):
+        low, high = (plain_statistic(v) for v in bounds[2 * i : 2 * i + 2])
+        if bounds[2 * i] is None:  # no source row has this key, so nothing matches
+            return []
+        if low is None or high is None:
+            continue
+        both = ("and", ("cmp", ">=", t, low), ("cmp", "<=", t, high))
+        test = both if test is None else ("and", test, both)
+    floating = {c.stored for c in snapshot.columns if isinstance(c.spark_type, (T.DoubleType, T.FloatType))}
+    return prune(files, test, {c.name: c.stored for c in snapshot.columns}, floating)
+
+
 def merge(table: VersionedTable, snapshot: Snapshot, source: DataFrame, on: str, clauses: list[Clause], target_alias: str, source_alias: str) -> Edit:
     """Rows of source are matched by `on`; the first clause whose condition is true applies.
 
@@ -151,7 +177,7 @@ def merge(table: VersionedTable, snapshot: Snapshot, source: DataFrame, on: str,
     source = staged(source, "merge-source")
     matched = [c for c in clauses if c.matched]
     adding = [c for c in clauses if not c.matched]
-    target = table.scan(snapshot, row_ids=True, file_names=True)
+    target = table.scan(snapshot, mergeable(table, snapshot, source, on, target_alias, source_alias), row_ids=True, file_names=True)
     t, s = target.alias(target_alias), source.withColumn("__there", F.lit(True)).alias(source_alias)
 
     def first_of(group: list[Clause]):

@@ -2,32 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-SLICE = "1 day"
+from pyspark.sql import types as T
 
+from sedimenta.operators.common import staged
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], slice_width: str = SLICE) -> DataFrame:
-    """Every left row with the values of the latest right row of its key at or before its time; null if there is none.
+def asof_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], strict: bool = False) -> DataFrame:
+    """(l, r): every left row with the latest right row of equal keys at or before its time (strict: before), null if there is none.
 
-    Both sides are put into one list per key and slice of time, and a window carries the last right row forward; the
-    last right row of each slice is carried to the following ones, so a key of any size is spread over its slices. Of
-    right rows at the same time the one with the greatest values counts. Null keys and times match nothing.
+    Both sides are brought into one order of keys and time by a range exchange, which spreads a key over as many tasks
+    as it fills, whatever its times are like. Each task carries the last right row forward; what it hands to the tasks
+    behind it is one row, so the driver gets at most one per task. Of right rows at the same time the one with the
+    greatest values counts. Null keys and times match nothing and are not exchanged.
     """
-    mark = F.date_trunc(slice_width.split()[-1].rstrip("s"), F.col(time).cast("timestamp")).alias("__slice")
-    held = F.struct(F.lit(True).alias("__hit"), *values)
-    spread = left.select(F.struct(*left.columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__time"), mark, F.lit(1).alias("__side"), F.lit(None).cast(right.select(held.alias("v")).schema["v"].dataType).alias("__value"))
-    other = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.lit(None).cast(spread.schema["__row"].dataType).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__time"), mark, F.lit(0).alias("__side"), held.alias("__value"))
-    inside = Window.partitionBy("__key", "__slice").orderBy("__time", "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    both = spread.unionByName(other).withColumn("__near", F.last("__value", ignorenulls=True).over(inside))
-    ends = both.groupBy("__key", "__slice").agg(F.max(F.when(F.col("__side") == 0, F.struct("__time", "__value"))).alias("__end"))
-    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("__key", "__slice", F.last(F.col("__end.__value"), ignorenulls=True).over(before).alias("__far"))
-    met = both.where("__side = 1").join(carried, ["__key", "__slice"], "left")
-    found = F.when(F.col("__key").isNotNull() & F.col("__time").isNotNull(), F.coalesce("__near", "__far"))
-    return met.select("__row.*", *[found.getField(v).alias(v) for v in values])
+    spark = left.sparkSession
+    l_kind, r_kind = T.StructType(left.schema.fields), T.StructType(right.schema.fields)
+    whole_l, whole_r = F.struct(*[F.col(f"`{c}`") for c in left.columns]), F.struct(*[F.col(f"`{c}`") for c in right.columns])
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        named = [F.col(f"`{pair[n]}`").alias(f"__k{i}") for i, pair in enumerate(keys)]
+        order = F.lit(1 if n == 0 else 2 if strict else 0)
+        return df.select(*named, F.col(f"`{times[n]}`").alias("__t"), order.alias("__side"), (whole_l if n == 0 else F.lit(None).cast(l_kind)).alias("l"), (whole_r if n else F.lit(None).cast(r_kind)).alias("r"))
+
+    names = [*[f"__k{i}" for i in range(len(keys))], "__t"]
+    lost = F.greatest(*[F.col(n).isNull().cast("int") for n in names]) == 1
+    lefts = side(left, 0)
+    both = lefts.where(~lost).unionByName(side(right, 1).where(~lost))
+    ordered = both.repartitionByRange(*names).sortWithinPartitions(*names, "__side", "r")
+    key_names = names[:-1]
+    side_right = 2 if strict else 0
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows).combine_chunks()
+        n = table.num_rows
+        fresh = np.zeros(n, bool)
+        fresh[0] = True
+        for k in key_names:
+            column = table.column(k).chunk(0)
+            fresh[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False), bool)
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(fresh, at, -1))
+        of_right = table.column("__side").chunk(0).to_numpy() == side_right
+        last = np.maximum.accumulate(np.where(of_right, at, -1))
+        hit = last >= start
+        l, r = table.column("l").chunk(0), table.column("r").chunk(0)
+        mine = np.flatnonzero(~of_right)
+        found = pa.array(np.where(hit, last, -1)[mine], pa.int64(), mask=~hit[mine])
+        none_open = pa.array((start[mine] == 0) & ~hit[mine])
+        keys_of = lambda i: [table.column(k).slice(i, 1).combine_chunks() for k in key_names]
+        out = pa.schema([pa.field("l", l.type), pa.field("r", r.type), pa.field("part", pa.int32()), pa.field("open", pa.bool_()), *[pa.field(f"first{i}", table.column(k).type) for i, k in enumerate(key_names)], *[pa.field(f"last{i}", table.column(k).type) for i, k in enumerate(key_names)]])
+        # What the tasks behind have to know: the first and last key, and the last right row of the last key.
+        end = pa.array(last[-1:], pa.int64(), mask=~hit[-1:])
+        columns = [pa.nulls(1, l.type), r.take(end), pa.array([part], pa.int32()), pa.nulls(1, pa.bool_()), *keys_of(0), *keys_of(n - 1)]
+        yield pa.record_batch(columns, schema=out)
+        for a in range(0, len(mine), 10_000):
+            some = mine[a : a + 10_000]
+            k = len(some)
+            columns = [l.take(pa.array(some, pa.int64())), r.take(found.slice(a, k)), pa.array(np.full(k, part, np.int32)), none_open.slice(a, k), *[pa.nulls(k, out.field(j).type) for j in range(4, 4 + 2 * len(key_names))]]
+            yield pa.record_batch(columns, schema=out)
+
+    key_types = [both.schema[k].dataType for k in key_names]
+    schema = T.StructType([T.StructField("l", l_kind), T.StructField("r", r_kind), T.StructField("part", T.IntegerType()), T.StructField("open", T.BooleanType()), *[T.StructField(f"first{i}", t) for i, t in enumerate(key_types)], *[T.StructField(f"last{i}", t) for i, t in enumerate(key_types)]])
+    carried = staged(ordered.mapInArrow(carry, schema), "asof")
+    ends = sorted(carried.where("open is null").collect(), key=lambda e: e["part"])
+    handed, at_key, held = [], None, None
+    for e in ends:
+        first, last = tuple(e[f"first{i}"] for i in range(len(keys))), tuple(e[f"last{i}"] for i in range(len(keys)))
+        if at_key == first and held is not None:
+            handed.append((e["part"], held))
+        if e["r"] is not None:
+            held = e["r"]
+        elif last != at_key:
+            held = None
+        at_key = last
+    met = carried.where("not open").select("l", "r")
+    more = spark.createDataFrame(handed, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("given", r_kind)]))
+    opened = carried.where("open").select("l", "part").join(F.broadcast(more), "part", "left").select("l", F.col("given").alias("r"))
+    return met.unionByName(opened).unionByName(lefts.where(lost).select("l", "r"))
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+    """Every left row with the values of the latest right row of its key at or before its time; see asof_pairs."""
+    found = asof_pairs(left, right.select(key, time, *values), [(key, key)], (time, time))
+    return found.select("l.*", *[F.col(f"r.`{v}`").alias(v) for v in values])
 
 
 def band(left: DataFrame, right: DataFrame, keys: list[str], number: str, width: int) -> DataFrame:

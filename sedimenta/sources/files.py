@@ -22,10 +22,10 @@ def read_files(spark: SparkSession, path: str | list[str], kind: str, schema: T.
     return (reader.schema(schema) if schema is not None else reader).format(kind).load(path)
 
 
-def write_files(df: DataFrame, path: str, kind: str, mode: str = "errorifexists", compression: str | None = None, rows_per_file: int = 0, partition_by: list[str] | None = None) -> None:
+def write_files(df: DataFrame, path: str, kind: str, mode: str = "errorifexists", compression: str | None = None, rows_per_file: int = 0, partition_by: list[str] | None = None, **options: Any) -> None:
     if kind not in FORMATS:
         raise AnalysisError(f"unknown format {kind!r}")
-    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    writer = df.write.mode(mode).options(**options).option("maxRecordsPerFile", rows_per_file)
     if compression:
         writer = writer.option("compression", compression)
     if partition_by:

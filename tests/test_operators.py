@@ -385,6 +385,31 @@ def test_asof_across_slices(spark):
     assert rows(joins.asof(left, right, "k", "t", ["v"]).select("id", "v")) == [(1, 11), (2, None), (3, 10), (4, None), (5, None), (6, None)]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_pairs_equal_brute_force(spark, strict):
+    """Hot keys, bursts, ties, nulls, and more tasks than any key has rows in."""
+    rnd = random.Random(7)
+    at = lambda: None if rnd.random() < 0.05 else TS + datetime.timedelta(microseconds=rnd.randrange(40) if rnd.random() < 0.5 else rnd.randrange(10**12))
+    key = lambda: rnd.choice(["hot", "hot", "hot", "a", "b", None])
+    left = [(i, key(), rnd.randrange(2), at()) for i in range(300)]
+    right = [(i, key(), rnd.randrange(2), at()) for i in range(120)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        l, r = spark.createDataFrame(left, "id long, k string, n int, t timestamp"), spark.createDataFrame(right, "v long, key string, n int, u timestamp")
+        got = rows(joins.asof_pairs(l, r, [("k", "key"), ("n", "n")], ("t", "u"), strict).select("l.id", "r.v", "r.u"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = []
+    for i, k, n, t in left:
+        fit = [(u, v) for v, key_, n_, u in right if None not in (k, t, u) and (key_, n_) == (k, n) and (u < t or u == t and not strict)]
+        late = max((u for u, _ in fit), default=None)
+        want.append((i, max((v for u, v in fit if u == late), default=None), late))
+    assert [r[0] for r in got] == list(range(300)) and got == [w for w in want]
+    empty = joins.asof_pairs(l, r.limit(0), [("k", "key")], ("t", "u"))
+    assert empty.count() == 300 and empty.where("r is not null").count() == 0 and joins.asof_pairs(l.limit(0), r, [("k", "key")], ("t", "u")).count() == 0
+
+
 def test_join_unique_with_heavy_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "heavy_keys", lambda df, key, partitions=None: [1, 3])
     left = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (4, "w")], "k long, v string")

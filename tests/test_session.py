@@ -359,3 +359,103 @@ def test_tasks_run_when_due_and_after_each_other(session, engine):
     for bad in ("CREATE TASK x AS SELECT 1", "CREATE TASK x AFTER nothing AS SELECT 1", "DROP TASK third"):
         with pytest.raises(AnalysisError):
             session.sql(bad)
+
+
+def test_merge_reads_only_files_in_the_sources_range(session, monkeypatch):
+    from sedimenta.operators import dml
+
+    session.sql("CREATE TABLE t (id INT, v INT)")
+    for i in range(5):
+        session.sql(f"INSERT INTO t SELECT /*+ COALESCE(1) */ id + {i * 10}, 0 FROM range(0, 10, 1, 1)")
+    read = []
+    monkeypatch.setattr(dml, "mergeable", lambda *a, run=dml.mergeable: (read.append(run(*a)), read[-1])[1])
+    session.sql("MERGE INTO t USING (SELECT id + 15 AS k FROM range(8)) s ON t.id = s.k WHEN MATCHED THEN UPDATE SET v = 1 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.k, 2)")
+    assert len(read[0]) == 2
+    session.sql("MERGE INTO t USING (SELECT CAST(NULL AS INT) AS k) s ON t.id = s.k WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (id, v) VALUES (99, 3)")
+    assert read[1] == []
+    session.sql("MERGE INTO t USING (SELECT 3 AS k) s ON t.id < s.k WHEN MATCHED THEN DELETE")
+    assert len(read[2]) == len(session._table(("t",), "SELECT")[1].at_version(8).files)
+    assert rows(session.sql("SELECT v, count(*), min(id), max(id) FROM t GROUP BY v")) == [(0, 39, 3, 49), (1, 8, 15, 22), (3, 1, 99, 99)]
+
+
+def test_qualify_limit_by_and_apply(session):
+    session.sql("CREATE TABLE t (g VARCHAR, n INT); INSERT INTO t VALUES ('a', 1), ('a', 2), ('a', 3), ('b', 9), (NULL, 5), (NULL, 6)")
+    assert rows(session.sql("SELECT g, n FROM t QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1")) == [(None, 6), ("a", 3), ("b", 9)]
+    assert [tuple(r) for r in session.sql("SELECT g, n * 10 AS m FROM t WHERE n < 9 QUALIFY m > 10 ORDER BY n DESC LIMIT 3").collect()] == [(None, 60), (None, 50), ("a", 30)]
+    assert rows(session.sql("SELECT count(*) FROM (SELECT DISTINCT g FROM t QUALIFY n > 2 UNION ALL SELECT g FROM t QUALIFY max(n) OVER () = n)")) == [(4,)]
+    assert rows(session.sql("SELECT g, sum(n) AS s FROM t GROUP BY g HAVING sum(n) > 1 QUALIFY rank() OVER (ORDER BY sum(n)) <= 2")) == [("a", 6), ("b", 9)]
+    assert [tuple(r) for r in session.sql("SELECT n FROM t ORDER BY g NULLS LAST, n DESC LIMIT 1 BY g LIMIT 2").collect()] == [(3,), (9,)]
+    assert len(rows(session.sql("SELECT n FROM t LIMIT 2 BY g"))) == 5
+    assert rows(session.sql("SELECT a.n, x.m FROM t a CROSS APPLY (SELECT max(b.n) AS m FROM t b WHERE b.n < a.n AND b.g = a.g HAVING count(*) > 0) x WHERE a.n < 9")) == [(2, 1), (3, 2)]
+    assert rows(session.sql("SELECT a.n, e FROM t a OUTER APPLY explode(sequence(1, a.n)) AS x(e) WHERE a.g = 'a' AND a.n < 3")) == [(1, 1), (2, 1), (2, 2)]
+    assert rows(session.sql("SELECT 'QUALIFY LIMIT 1 BY x' AS \"s\" FROM t LIMIT 1".replace('"', "`"))) == [("QUALIFY LIMIT 1 BY x",)]
+    with pytest.raises(AnalysisError):
+        session.sql("SELECT 1 QUALIFY 1")
+
+
+def test_asof_join_text(session):
+    session.sql("CREATE TABLE trades (sym VARCHAR, at INT, px INT); CREATE TABLE quotes (sym VARCHAR, at INT, bid INT)")
+    session.sql("INSERT INTO trades VALUES ('a', 5, 1), ('a', 1, 2), ('b', 7, 3), (NULL, 7, 4); INSERT INTO quotes VALUES ('a', 2, 10), ('a', 5, 11), ('b', 9, 12), (NULL, 1, 13)")
+    assert rows(session.sql("SELECT t.px, q.bid FROM trades t ASOF LEFT JOIN quotes q ON t.sym = q.sym AND t.at >= q.at")) == [(1, 11), (2, None), (3, None), (4, None)]
+    assert rows(session.sql("SELECT t.px, q.bid FROM trades AS t ASOF JOIN quotes AS q MATCH_CONDITION (t.at > q.at) ON t.sym = q.sym WHERE t.px > 0")) == [(1, 10)]
+    assert rows(session.sql("SELECT trades.px, q.b FROM main.public.trades ASOF JOIN (SELECT sym, at, bid + 1 AS b FROM quotes) q ON q.at <= trades.at AND q.sym = trades.sym ORDER BY q.b")) == [(1, 12)]
+    for bad in ("t.sym = q.sym", "t.at >= q.at", "t.sym = q.sym AND t.at <= q.at", "t.sym = q.sym AND t.at >= q.at AND t.px > q.bid"):
+        with pytest.raises(AnalysisError):
+            session.sql(f"SELECT t.px FROM trades t ASOF JOIN quotes q ON {bad}")
+
+
+def test_python_functions(session):
+    session.sql("CREATE TABLE t (n INT); INSERT INTO t VALUES (1), (2), (NULL)")
+    session.register("twice", lambda v: v * 2, "long")
+    assert rows(session.sql("SELECT twice(n) FROM t WHERE n IS NOT NULL")) == [(2,), (4,)]
+    with pytest.raises(AnalysisError):
+        session.register("x", lambda v: v, "long", "other")
+
+
+def test_copy_in_and_out(session, tmp_path):
+    session.sql("CREATE TABLE t (id INT, name VARCHAR, d DATE) WITH (COMPRESSION = 'zstd'); INSERT INTO t VALUES (1, 'a', DATE '2024-01-01'), (2, NULL, NULL)")
+    for kind in ("parquet", "orc", "csv", "json"):
+        options = "TYPE = CSV, HEADER = true" if kind == "csv" else f"TYPE = {kind.upper()}"
+        session.sql(f"COPY INTO 'file://{tmp_path}/{kind}' FROM t FILE_FORMAT = ({options})")
+        session.sql(f"CREATE TABLE {kind}_ (id INT, name VARCHAR, d DATE); COPY INTO {kind}_ FROM 'file://{tmp_path}/{kind}' FILE_FORMAT = ({options})")
+        assert rows(session.sql(f"SELECT * FROM {kind}_")) == rows(session.sql("SELECT * FROM t"))
+    session.sql(f"COPY INTO 'file://{tmp_path}/q' FROM (SELECT id FROM t WHERE id > 1)")
+    session.sql(f"CREATE TABLE u (x INT, id INT); COPY INTO u (id) FROM 'file://{tmp_path}/q' FILE_FORMAT = (TYPE = 'parquet')")
+    assert rows(session.sql("SELECT * FROM u")) == [(None, 2)]
+    path = next(iter(session._table(("t",), "SELECT")[1].head().files.values()))["path"]
+    import pyarrow.parquet as pq
+
+    assert pq.read_metadata(path.removeprefix("file:")).row_group(0).column(0).compression == "ZSTD"
+    for bad in ("CREATE TABLE x (id INT) WITH (COMPRESSION = 'nothing')", "CREATE TABLE x (id INT) WITH (a = 1)", "COPY INTO t FROM 'x' FILE_FORMAT = (TYPE = XML)"):
+        with pytest.raises(AnalysisError):
+            session.sql(bad)
+
+
+def test_analyze_and_advice(session):
+    session.sql("CREATE TABLE a (id INT, b_id INT); CREATE TABLE b (id INT, c_id INT); CREATE TABLE c (id INT)")
+    session.sql("INSERT INTO a SELECT id, id % 10 FROM range(1000); INSERT INTO b SELECT id, id % 3 FROM range(10); INSERT INTO c VALUES (0), (1), (NULL)")
+    assert rows(session.sql("ANALYZE TABLE b")) == [("c_id", 10, 3, 0, "0", "2"), ("id", 10, 10, 0, "0", "9")]
+    assert rows(session.sql("ANALYZE TABLE c COMPUTE STATISTICS")) == [("id", 3, 2, 1, "0", "1")]
+    got = session.sql("EXPLAIN ADVICE SELECT * FROM a x JOIN b ON b.id = x.b_id JOIN main.public.c ON c.id = b.c_id WHERE x.id > 5").collect()
+    assert [(r["build"], r["probe"], r["distribution"]) for r in got] == [("c", "b", got[0][4]), ("(c b)", "x", got[1][4])] and {r[4] for r in got} <= {"broadcast_left", "broadcast_right"}
+    with pytest.raises(AnalysisError):
+        session.sql("EXPLAIN ADVICE SELECT * FROM a, c")
+
+
+def test_health(engine):
+    assert engine.health() == {"alive": True, "ready": True, "checks": {"catalog": True, "spark": True, "store": True}}
+
+
+def test_log_entries_appear_whole_or_not(session, tmp_path):
+    from sedimenta.sources.store import FileExists, Store
+
+    store = Store(session.spark, str(tmp_path / "s"))
+    store.create("a/00000000000000000001.json", {"x": 1})
+    with pytest.raises(FileExists):
+        store.create("a/00000000000000000001.json", {"x": 2})
+    (tmp_path / "s/a/.00000000000000000002.json.dead").write_text("{")
+    assert store.latest("a") == 1 and store.read("a/00000000000000000001.json") == {"x": 1}
+    store.create("a/00000000000000000002.json", {"x": 3})
+    with pytest.raises(Exception) as refused:
+        Store(session.spark, "/proc/none").create("x.json", {})
+    assert not isinstance(refused.value, FileExists)
