@@ -116,6 +116,11 @@ class Store:
     def delete(self, name: str) -> bool:
         return self._fs.delete(self.path(name), True)
 
-    def latest(self, folder: str) -> int:
-        """Highest version of the numbered files in a folder, 0 if there are none."""
+    def latest(self, folder: str, known: int = 0) -> int:
+        """Highest version of the numbered files in a folder, 0 if there are none.
+
+        Numbers have no gaps, so if the one after a known version is not there, the folder is not listed.
+        """
+        if known and not self.exists(f"{folder}/{known + 1:020d}.json"):
+            return known
         return max([0, *(int(uri.rsplit("/", 1)[1].split(".")[0]) for uri, _ in self.list(folder) if uri.endswith(".json"))])
