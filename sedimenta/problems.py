@@ -78,7 +78,7 @@ found AS (SELECT table_id, mp_id FROM small WHERE smalls >= 2)
 _TREE = """
 {name}_nodes AS ({nodes}),
 {name}_links AS (SELECT a.node, a.parent FROM {name}_nodes a JOIN {name}_nodes b ON a.parent = b.node),
-{name}_up AS (SELECT node, node AS anc, 0 AS d FROM {name}_nodes UNION SELECT u.node, l.parent, u.d + 1 FROM {name}_up u JOIN {name}_links l ON u.anc = l.node WHERE u.d < 200),
+{name}_up AS (SELECT node, node AS anc, 0 AS d FROM {name}_nodes UNION SELECT u.node, l.parent, u.d + 1 FROM {name}_up u JOIN {name}_links l ON u.anc = l.node WHERE u.d < (SELECT count(*) FROM {name}_nodes)),
 {name}_ring AS (SELECT DISTINCT node FROM {name}_up WHERE d > 0 AND anc = node),
 {name}_lab AS (SELECT u.node, min(u.anc) AS label FROM {name}_up u WHERE u.node IN (SELECT node FROM {name}_ring) GROUP BY u.node),
 {name}_desc AS (SELECT anc AS node, count(DISTINCT node) - 1 AS n FROM {name}_up GROUP BY anc),

@@ -836,6 +836,26 @@ def python_functions(spark, d):
     return s.sql("SELECT shout(n.n_name) AS name, w.w, q.square FROM (SELECT n_regionkey, width(n_nationkey) AS w FROM nation GROUP BY n_regionkey) w JOIN nation n ON n.n_regionkey = w.n_regionkey JOIN squares(0, 4) q ON q.i = w.n_regionkey")
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+def stream_tumbling(spark, d):
+    """Windows over a stream with a watermark; the last complete result."""
+    out = scratch_path(spark, "windows")
+    counted = eventtime.tumbling(_event_stream(spark, d), "ts", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n"), F.max("value").alias("top")], late="1 hour")
+    eventtime.run_available(counted, lambda df, n: df.write.mode("overwrite").parquet(out), f"{out}-state", "complete")
+    return spark.read.parquet(out).drop("window_end")
+
+
+def stream_dedup(spark, d):
+    """One event per user and type within the watermark of a stream, whichever comes first."""
+    out = scratch_path(spark, "firsts")
+    firsts = eventtime.first_per_key(_event_stream(spark, d).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "3650 days")
+    eventtime.run_available(firsts, lambda df, n: df.write.mode("append").parquet(f"{out}/batch={n}"), f"{out}-state")
+    return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 ENGINE = [
     insert_values, insert_select, update_cow, update_expr, delete_cow, delete_all, time_travel_before_update, time_travel_after_delete, clone_isolated, clone_at_timestamp,
     txn_commit, txn_rollback, txn_own_reads, stream_insert, stream_update_pairs, stream_delete, stream_consume_then_empty, stream_preview_repeat, stream_filtered_commits_all, stream_has_data, stream_structured,
@@ -843,7 +863,7 @@ ENGINE = [
     zone_map_prune, zone_map_stats, gc_keeps_active, compact_preserves_rows, backup_restore, show_tables, show_streams, show_dynamic_tables, show_grants, rbac_denied_then_granted,
     sql_udf_scalar, sql_udf_overload, sql_udf_in_where, histogram_equi_height, mcv_topn, join_asof, join_band, join_explicit_strategies, join_salted, formats_round_trip, ev_tumbling, ev_sliding, ev_session, ev_dedup_watermark,
     databases_and_schemas, use_and_settings, prepared_statement, stream_metadata, stream_row_ids_pair_up, stream_describe_and_drop, stream_one_consumer_wins, stream_lost_payload, names_are_checked, dt_schedule_and_drop,
-    drop_function, rbac_streams_and_creation, result_cache, counters, task_graph, backup_survives_gc, backup_catalogue, gc_deletes_files, compact_merges_files, zone_maps_prune_files, table_history, txn_conflict, undrop_table, python_functions,
+    drop_function, rbac_streams_and_creation, result_cache, counters, task_graph, backup_survives_gc, backup_catalogue, gc_deletes_files, compact_merges_files, zone_maps_prune_files, table_history, txn_conflict, undrop_table, python_functions, stream_tumbling, stream_dedup,
 ]
 
 QUERIES: dict[str, Query] = {n: on_engine(t) for n, t in SHARED.items()} | {n: on_engine(s) for n, (s, _) in PAIRS.items()} | {f.__name__: f for f in ENGINE}
@@ -931,4 +951,6 @@ SQL: dict[str, str] = SHARED | {n: o for n, (_, o) in PAIRS.items()} | {
     "txn_conflict": "SELECT * FROM (VALUES (0, 'TransactionConflict'), (1, '2'), (2, '1')) t(step, seen)",
     "undrop_table": _N,
     "python_functions": "SELECT upper(n_name) || '!' AS name, CAST(max(n_nationkey) OVER (PARTITION BY n_regionkey) - min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS w, CAST(n_regionkey * n_regionkey AS INTEGER) AS square FROM nation WHERE n_regionkey < 4",
+    "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, MAX(value) AS top FROM events GROUP BY 1, 2",
+    "stream_dedup": "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL",
 }
