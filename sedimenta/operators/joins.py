@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.operators.common import staged
+from sedimenta.operators.orphans import build_bloom, split_by_bloom
 
 def asof_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], strict: bool = False) -> DataFrame:
     """(l, r): every left row with the latest right row of equal keys at or before its time (strict: before), null if there is none.
@@ -111,6 +112,17 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], number: str, width:
     return near.join(there, [*keys, "__cell"]).where(F.abs(F.col(number) - F.col("__number")) <= width).drop("__cell", "__number")
 
 
+def bloom_filtered(probe: DataFrame, build: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Inner or semi join in which a Bloom filter of the build side's keys drops rows of the probe side before the exchange.
+
+    Worth it where few probe rows match; the filter is built and probed in blocks at any size. Null keys match nothing.
+    """
+    if how not in ("inner", "left_semi"):
+        raise ValueError(f"rows without a match have to stay in a {how} join")
+    asked = split_by_bloom(probe.where(F.col(key).isNotNull()), key, build_bloom(build, key))
+    return asked.where("_maybe").drop("_maybe").join(build, key, how)
+
+
 def salted(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
     """Inner join in which every key is spread over `salts` tasks: left rows by chance, right rows copied to each."""
     one = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

@@ -576,6 +576,13 @@ def join_salted(spark, d):
     return joins.salted(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_quantity"), read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", 8).groupBy("s_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def join_bloom(spark, d):
+    """Lineitems of urgent orders, most others dropped by a filter of the orders' keys before the join."""
+    urgent = read(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity")
+    return joins.bloom_filtered(lines, urgent, "k").groupBy("o_custkey").agg(F.sum("l_quantity").alias("qty"))
+
+
 def formats_round_trip(spark, d):
     customers = read(spark, d, "customer")
     out = None
@@ -861,7 +868,7 @@ ENGINE = [
     txn_commit, txn_rollback, txn_own_reads, stream_insert, stream_update_pairs, stream_delete, stream_consume_then_empty, stream_preview_repeat, stream_filtered_commits_all, stream_has_data, stream_structured,
     dt_full_refresh, dt_incremental_append, dt_incremental_delete, dt_auto_join, dt_auto_agg, dt_empty_refresh, merge_upsert, merge_delete_clause, merge_insert_only, alter_add_column, alter_drop_column,
     zone_map_prune, zone_map_stats, gc_keeps_active, compact_preserves_rows, backup_restore, show_tables, show_streams, show_dynamic_tables, show_grants, rbac_denied_then_granted,
-    sql_udf_scalar, sql_udf_overload, sql_udf_in_where, histogram_equi_height, mcv_topn, join_asof, join_band, join_explicit_strategies, join_salted, formats_round_trip, ev_tumbling, ev_sliding, ev_session, ev_dedup_watermark,
+    sql_udf_scalar, sql_udf_overload, sql_udf_in_where, histogram_equi_height, mcv_topn, join_asof, join_band, join_explicit_strategies, join_salted, join_bloom, formats_round_trip, ev_tumbling, ev_sliding, ev_session, ev_dedup_watermark,
     databases_and_schemas, use_and_settings, prepared_statement, stream_metadata, stream_row_ids_pair_up, stream_describe_and_drop, stream_one_consumer_wins, stream_lost_payload, names_are_checked, dt_schedule_and_drop,
     drop_function, rbac_streams_and_creation, result_cache, counters, task_graph, backup_survives_gc, backup_catalogue, gc_deletes_files, compact_merges_files, zone_maps_prune_files, table_history, txn_conflict, undrop_table, python_functions, stream_tumbling, stream_dedup,
 ]
@@ -953,4 +960,5 @@ SQL: dict[str, str] = SHARED | {n: o for n, (_, o) in PAIRS.items()} | {
     "python_functions": "SELECT upper(n_name) || '!' AS name, CAST(max(n_nationkey) OVER (PARTITION BY n_regionkey) - min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS w, CAST(n_regionkey * n_regionkey AS INTEGER) AS square FROM nation WHERE n_regionkey < 4",
     "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, MAX(value) AS top FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL",
+    "join_bloom": "SELECT o_custkey, SUM(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY o_custkey",
 }

@@ -459,3 +459,20 @@ def test_log_entries_appear_whole_or_not(session, tmp_path):
     with pytest.raises(Exception) as refused:
         Store(session.spark, "/proc/none").create("x.json", {})
     assert not isinstance(refused.value, FileExists)
+
+
+def test_refresh_looks_only_into_files_of_the_changed_rows(session, monkeypatch):
+    session.sql("CREATE TABLE t (id INT)")
+    for i in range(4):
+        session.sql(f"INSERT INTO t SELECT id + {i * 100} FROM range(0, 100, 1, 1)")
+    session.sql("CREATE DYNAMIC TABLE d TARGET_LAG = '1 minute' REFRESH_MODE = INCREMENTAL AS SELECT id, id * 2 AS two FROM t WHERE id % 10 <> 0")
+    output = session.engine.table(session.engine.catalog.find("dynamic", ("main", "public", "d"))["output_id"])
+    assert all(f["origins"] for f in output.head().files.values())
+    looked, scan = [], VersionedTable.scan
+    monkeypatch.setattr(VersionedTable, "scan", lambda self, s, files=None, **k: (looked.append(len(files)) if self is output and k.get("file_names") else None, scan(self, s, files, **k))[1])
+    session.sql("INSERT INTO t VALUES (1000), (1001); ALTER DYNAMIC TABLE d REFRESH")
+    assert looked == []  # appended rows are in no output file yet
+    session.sql("UPDATE t SET id = id + 5000 WHERE id = 105; DELETE FROM t WHERE id = 107; ALTER DYNAMIC TABLE d REFRESH")
+    assert looked == [1]
+    want = [i for i in (*range(400), 1000, 1001, 5105) if i % 10 and i not in (105, 107)]
+    assert rows(session.sql("SELECT id, two FROM d")) == [(i, 2 * i) for i in want]
