@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.sources.store import FileExists, publish, qualified
+from sedimenta.sources.store import FileExists, open_uri, publish, qualified
 
 BUCKET_ROWS = 1_000_000  # rows aimed at in a bucket
 GROUP_ROWS = 131_072  # rows of a bucket that are merged at a time
@@ -40,12 +39,6 @@ def is_insert(action: Column) -> Column:
     return F.when(plain.isin(*INSERTS), True).when(plain.isin(*DELETES), False)
 
 
-def _open_uri(uri: str) -> tuple[Any, str]:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def sorted_rows(rows: pa.Table, keys: list[str], sequence: str) -> pa.Table:
     """Rows by key, the one that counts of each key first: greatest sequence, kept before deleted, greatest remaining columns.
 
@@ -183,13 +176,13 @@ class BucketedTable:
 
             def base() -> Iterator[pa.Table]:
                 for uri in old.get(str(bucket), []):
-                    where, name = _open_uri(uri)
+                    where, name = open_uri(uri)
                     with where.open_input_file(name) as source:
                         for batch in pq.ParquetFile(source).iter_batches(GROUP_ROWS):
                             yield pa.Table.from_batches([batch])
 
             path = f"{folder}/bucket-{bucket:06d}-{uuid.uuid4().hex}.parquet"
-            where, name = _open_uri(path)
+            where, name = open_uri(path)
             where.create_dir(name.rsplit("/", 1)[0], recursive=True)
             writer = None
             for rows in merged_groups(base(), first_of_each(sorted_rows(changes, keys, sequence), keys), keys, sequence):

@@ -23,7 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
     On a cluster every executor would write to a disk of its own, so there a missing setting is an error.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sedimenta.operators.common import current_rows, staged
-from sedimenta.sources.store import qualified
+from sedimenta.sources.store import open_uri, qualified
 
 ZSTD_MAGIC = 0xFD2FB528
 SKIPPABLE_MAGIC = 0x184D2A50  # low four bits free
@@ -351,14 +351,8 @@ def decode_merged(merged: DataFrame, schema: T.StructType) -> DataFrame:
 PIECE = 4 << 20  # bytes read at a time
 
 
-def _local_uri(path: str) -> str:
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def _read_pieces(path: str) -> Iterator[bytes]:
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(_local_uri(path))
+    where, name = open_uri(path)
     with where.open_input_stream(name, compression=None) as stream:
         while piece := stream.read(PIECE):
             yield piece
@@ -376,7 +370,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
     """
     if kind not in ("lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
-    folder = _local_uri(qualified(spark, target))
+    folder = qualified(spark, target)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).where(F.col("path").endswith(suffix)).select("path", "length")
     kept = None
     if leave_large:
@@ -395,9 +389,7 @@ def compact_files(spark: SparkSession, source: str, target: str, kind: str = "li
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = open_uri(folder)
         for batch in batches:
             rows = []
             for row in batch.to_pylist():

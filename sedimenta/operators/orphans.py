@@ -6,7 +6,6 @@ import math
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.operators.common import current_rows, join_unique, scratch_path, staged
+from sedimenta.sources.store import open_uri
 
 FALSE_POSITIVES = 0.01
 BLOCK_KEYS = 1 << 20  # keys of one block of the filter, about 1.2 MB
@@ -50,7 +50,7 @@ class BloomFilter:
         if block in self.held:
             self.held.move_to_end(block)
         elif block in self.paths:
-            where, name = _open_uri(self.paths[block])
+            where, name = open_uri(self.paths[block])
             with where.open_input_stream(name, compression=None) as stream:
                 self.held[block] = np.frombuffer(stream.read(), np.uint64)
             if self.bytes > MOST_BLOOM_BYTES and len(self.held) > HELD_BLOCKS:
@@ -71,12 +71,6 @@ class BloomFilter:
         return found
 
 
-def _open_uri(uri: str) -> tuple[Any, str]:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def hash_columns(key: str, blocks: int) -> list[Column]:
     """A key's block and two 31-bit-safe hashes: sums of h1 + i * h2 stay within 64 bits."""
     h1, h2 = F.shiftrightunsigned(F.xxhash64(key), 4), F.shiftrightunsigned(F.xxhash64(F.lit(7), key), 16)
@@ -104,7 +98,7 @@ def build_bloom(keys: DataFrame, key: str) -> BloomFilter:
                     np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         paths = []
         for b, words in made.items():
-            where, name = _open_uri(f"{folder}/{b:08d}-{uuid.uuid4().hex}")
+            where, name = open_uri(f"{folder}/{b:08d}-{uuid.uuid4().hex}")
             where.create_dir(name.rsplit("/", 1)[0], recursive=True)
             with where.open_output_stream(name, compression=None) as out:
                 out.write(words.tobytes())

@@ -21,6 +21,25 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target))
 
 
+# Schemes that Hadoop and Arrow spell differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A URI as Hadoop writes it, as Arrow reads it."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return "file://" + uri[5:]
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}"
+
+
+def open_uri(uri: str) -> tuple[Any, str]:
+    """Arrow's file system and the path in it, for a URI as Hadoop writes it; works on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 # Object stores, where a file appears whole when it is closed and a rename is a copy.
 OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn", "obs")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import changefeed, common, hierarchy, joins, maintenance, orphans, outliers, snapshots
-from sedimenta.sources.store import FileExists, publish
+from sedimenta.sources.store import FileExists, arrow_uri, open_uri, publish
 from tests.conftest import rows
 
 DAY = datetime.timedelta(1)
@@ -140,6 +140,14 @@ def test_feed_is_applied_in_steps_to_its_own_table(spark, tmp_path):
     assert rows(table.read().select("table_id", "row_id", "sequence", "quantity")) == sorted((t, r, x[0], x[2]) for (t, r), x in want.items() if x[1] == "I")
 
 
+def test_uris_are_opened_as_hadoop_writes_them(tmp_path):
+    (tmp_path / "x").write_text("1")
+    for uri in (f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
+        where, name = open_uri(uri)
+        assert where.get_file_info(name).size == 1
+    assert arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and arrow_uri("hdfs://host/a") == "hdfs://host/a" and arrow_uri("file:/a:b") == "file:///a:b"
+
+
 def test_a_torn_or_refused_publication(spark, tmp_path):
     t = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", ["k"], "s", 2)
     frame = spark.createDataFrame([(1, 1, True)], "k long, s long, alive boolean")
@@ -438,7 +446,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         getConf = staticmethod(lambda: {})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.scratch_root(type("S", (), {"sparkContext": Context}))
+        common.scratch_root(type("S", (), {"sparkContext": Context, "conf": {}}))
 
 
 def test_heavy_keys_are_few(spark):
