@@ -30,6 +30,8 @@ SKETCH_ROWS = 256  # rows of the sketched matrix
 SKETCH_BLOCKS = 16  # blocks of columns in which partial matrices are added up
 ITEM_WORDS = 4 << 20  # words of the items that are searched at a time
 PAGES = 2_000  # pages aimed at in one task of the search
+WINDOW = 20_000  # words of a page that are compared with an item at a time
+MOST_LISTED = 2_000_000  # cells of a table of subsequences that are walked as lists
 BATCH = 200  # pages that a task works on at a time
 LATENT = 128  # dimensions kept
 NEAR = 0.45  # least cosine of a candidate; half of a passage may be another column's
@@ -253,18 +255,27 @@ def passages_held(page: np.ndarray, item: np.ndarray) -> list[list[tuple[int, in
     """
     if not len(page) or not len(item):
         return []
-    found = supported(item[:, None] == page[None, :])
-    rows = np.flatnonzero(found.any(axis=1))
-    columns = np.flatnonzero(found.any(axis=0))
-    if not len(rows):
+    # In windows of the page, so that room does not grow with its length; support reaches two words to either side.
+    hits = []
+    for start in range(0, len(page), WINDOW):
+        low, high = max(0, start - 2), min(len(page), start + WINDOW + 2)
+        found = supported(item[:, None] == page[None, low:high])[:, start - low : start - low + WINDOW]
+        some, there = np.nonzero(found)
+        hits.append((some, there + start))
+    of_item, of_page = (np.concatenate(h) for h in zip(*hits))
+    if not len(of_item):
         return []
-    small = found[np.ix_(rows, columns)]
+    rows, i = np.unique(of_item, return_inverse=True)
+    columns, j = np.unique(of_page, return_inverse=True)
+    small = np.zeros((len(rows), len(columns)), bool)
+    small[i, j] = True
     n, m = small.shape
     best = np.zeros((n + 1, m + 1), np.int16)
     for i in range(n):
         np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + small[i]), out=best[i + 1, 1:])
-    lines, i, j, path = best.tolist(), n, m, []
-    hits = small.tolist()
+    i, j, path = n, m, []
+    # Plain lists are faster to walk, arrays smaller.
+    lines, hits = (best.tolist(), small.tolist()) if best.size < MOST_LISTED else (best, small)
     while i and j:
         here = lines[i][j]
         if hits[i - 1][j - 1] and here == lines[i - 1][j - 1] + 1:

@@ -159,3 +159,17 @@ def test_each_stage_keeps_all_that_an_exhaustive_search_finds(spark, corpus):
     held = {(int(p), texts[q][0]) for p, q in zip(*np.nonzero(enough))}
     assert truth <= near and truth <= held and len(near & held) < len(pages) * len(items) / 4
     coded.unpersist()
+
+
+def test_very_long_pages(monkeypatch):
+    rnd = np.random.default_rng(1)
+    item = rnd.integers(0, 5000, 150)
+    page = rnd.integers(0, 5000, 300_000)
+    page[199_990 : 199_990 + 150] = item  # over the bound of two windows
+    assert leaks.held_share(page, item) == 1
+    short = np.r_[page[199_700:200_400]]
+    want = leaks.passages_held(short, item)
+    monkeypatch.setattr(leaks, "WINDOW", 37)
+    assert leaks.passages_held(short, item) == want
+    monkeypatch.setattr(leaks, "MOST_LISTED", 0)
+    assert leaks.passages_held(short, item) == want
