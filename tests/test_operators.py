@@ -344,6 +344,16 @@ def test_cuts_between_tasks_make_no_difference(spark, monkeypatch):
     assert {1110, 1169, 6160, 6219} <= set(reasons["stuck", "cpu_usage"]) and not {1109, 1170, 1300, 1305} & set(reasons["stuck", "cpu_usage"])
 
 
+def test_sources_and_ids_of_any_type_and_missing_times(spark, monkeypatch):
+    data = [(f"h{i}", f"w{w}", None if t is None or i % 50 == 0 else t, v, 1) for i, w, t, v, *_ in hard_series() if w < 4] + [(None, "w1", None, 5.0, 1), ("x", None, TS, 0.5, 1), ("y", "", None, None, 1)]
+    frame = spark.createDataFrame(data, "heartbeat_id string, worker_id string, sent_at timestamp_ntz, cpu_usage double, m0 int")
+    found = {}
+    for chunk in (20_000, 60):
+        monkeypatch.setattr(outliers, "CHUNK", chunk)
+        found[chunk] = rows(outliers.flag_readings(frame, ["cpu_usage"]).select("id", "source", "metric", "reason"))
+    assert found[20_000] == found[60] and (None, "w1", "cpu_usage", "impossible") in found[60] and len(found[60]) > 190
+
+
 def test_one_source_with_most_readings(spark):
     """An unpatched hot source, spread over tasks by range."""
     beats = spark.range(0, 150_000).selectExpr("id AS heartbeat_id", "IF(id % 50 = 0, id % 1000, 7L) AS worker_id", "timestamp_micros(1735689600000000 + id * 1000000) AS sent_at", "0.5 + 0.05 * sin(id / 40) + 0.01 * (rand(3) - 0.5) + IF(id IN (777, 77777), 0.4, 0) AS cpu_usage")
