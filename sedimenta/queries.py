@@ -695,6 +695,16 @@ def stream_lost_payload(spark, d):
     return _steps(spark, _said(s, "SELECT * FROM s"), offset.get() == before)
 
 
+def stream_stale(spark, d):
+    """A forced collection outdates a stream; made again, it starts from now."""
+    s = _stream(spark, d, "DELETE FROM nation WHERE n_regionkey = 3", "GC 0")
+    kept = _said(s, "SELECT COUNT(*) FROM s WITH (COMMIT = FALSE)")
+    s.sql("GC 0 FORCE")
+    stale = _said(s, "SELECT COUNT(*) FROM s")
+    s.sql("CREATE OR REPLACE STREAM s ON TABLE nation; DELETE FROM nation WHERE n_regionkey = 1")
+    return _steps(spark, kept, stale, _said(s, "SELECT COUNT(*) FROM s"))
+
+
 def names_are_checked(spark, d):
     s = warehouse(spark)
     s.sql("CREATE TABLE t (id INT); CREATE STREAM t ON TABLE t")
@@ -869,7 +879,7 @@ ENGINE = [
     dt_full_refresh, dt_incremental_append, dt_incremental_delete, dt_auto_join, dt_auto_agg, dt_empty_refresh, merge_upsert, merge_delete_clause, merge_insert_only, alter_add_column, alter_drop_column,
     zone_map_prune, zone_map_stats, gc_keeps_active, compact_preserves_rows, backup_restore, show_tables, show_streams, show_dynamic_tables, show_grants, rbac_denied_then_granted,
     sql_udf_scalar, sql_udf_overload, sql_udf_in_where, histogram_equi_height, mcv_topn, join_asof, join_band, join_explicit_strategies, join_salted, join_bloom, formats_round_trip, ev_tumbling, ev_sliding, ev_session, ev_dedup_watermark,
-    databases_and_schemas, use_and_settings, prepared_statement, stream_metadata, stream_row_ids_pair_up, stream_describe_and_drop, stream_one_consumer_wins, stream_lost_payload, names_are_checked, dt_schedule_and_drop,
+    databases_and_schemas, use_and_settings, prepared_statement, stream_metadata, stream_row_ids_pair_up, stream_describe_and_drop, stream_one_consumer_wins, stream_lost_payload, stream_stale, names_are_checked, dt_schedule_and_drop,
     drop_function, rbac_streams_and_creation, result_cache, counters, task_graph, backup_survives_gc, backup_catalogue, gc_deletes_files, compact_merges_files, zone_maps_prune_files, table_history, txn_conflict, undrop_table, python_functions, stream_tumbling, stream_dedup,
 ]
 
@@ -961,4 +971,5 @@ SQL: dict[str, str] = SHARED | {n: o for n, (_, o) in PAIRS.items()} | {
     "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, MAX(value) AS top FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL",
     "join_bloom": "SELECT o_custkey, SUM(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY o_custkey",
+    "stream_stale": "SELECT 0 AS step, CAST(COUNT(*) AS VARCHAR) AS seen FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 1, 'StreamStale' UNION ALL SELECT 2, CAST(COUNT(*) AS VARCHAR) FROM nation WHERE n_regionkey = 1",
 }
